@@ -109,3 +109,100 @@ def distinct_sets(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct hashes of each text."""
     ends = np.cumsum(counts)
     return [np.unique(hashes[e - c : e]) if c else np.empty(0, dtype=U64) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
+
+
+_LETTER: list[np.ndarray] = []
+
+
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter; built once a process."""
+    if not _LETTER:
+        _LETTER.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    return _LETTER[0]
+
+
+class Words:
+    """All words (runs of letters, lower-cased) of a batch of texts.
+
+    codes: code points of the batch; start, length: of each word in codes;
+    hashes: of each word; counts: words of each text; distinct, first, which:
+    the distinct hashes, a word that has each, and the distinct one of each word.
+    """
+
+    def __init__(self, texts):
+        lower = [t.lower() if t else "" for t in texts]
+        self.codes = np.frombuffer(("\x00".join(lower) + "\x00").encode("utf-32-le", "surrogatepass"), dtype=np.uint32) if lower else np.empty(0, dtype=np.uint32)
+        inside = _letters()[self.codes]
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        self.start, end = edge[0::2], edge[1::2]
+        self.length = end - self.start
+        bound = np.searchsorted(self.start, np.cumsum([len(t) + 1 for t in lower])) if lower else np.empty(0, dtype=np.int64)
+        self.counts = np.diff(bound, prepend=0)
+        if len(self.start):
+            first = np.concatenate(([0], np.cumsum(self.length)[:-1]))
+            at = np.flatnonzero(inside)
+            offset = np.arange(len(at)) - np.repeat(first, self.length)
+            value = mix64((self.codes[at].astype(U64) + U64(1)) * _STEP) * _POW[offset % _RUN]
+            far = offset >= _RUN
+            if far.any():
+                value[far] = mix64(value[far] + (offset[far] // _RUN).astype(U64) * _STEP)
+            self.hashes = mix64(np.add.reduceat(value, first) + self.length.astype(U64) * _STEP)
+        else:
+            self.hashes = np.empty(0, dtype=U64)
+        self.distinct, self.first, self.which = np.unique(self.hashes, return_index=True, return_inverse=True)
+
+    def padded(self, words: np.ndarray, before: int, after: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of the given words, each with 2s before and 3s after it, where each begins, and its size."""
+        size = self.length[words] + before + after
+        begin = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else np.empty(0, dtype=np.int64)
+        out = np.empty(int(size.sum()), dtype=np.uint32)
+        offset = np.arange(len(out)) - np.repeat(begin, size)
+        source = np.repeat(self.start[words] - before, size) + offset
+        head, tail = offset < before, offset >= np.repeat(size - after, size)
+        out[:] = self.codes[np.clip(source, 0, max(len(self.codes) - 1, 0))] if len(out) else 0
+        out[head], out[tail] = 2, 3
+        return out, begin, size
+
+
+def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n code points that begin at each place; the last n-1 places are not valid."""
+    out = np.full(len(codes), n, dtype=U64) * _STEP
+    value = (codes.astype(U64) + U64(1)) * _STEP
+    for j in range(n):
+        shifted = np.zeros_like(value)
+        shifted[: len(value) - j] = value[j:] if j else value
+        out = mix64(out ^ (shifted + U64(j)))
+    return out
+
+
+def string_gram_hash(grams: list[str]) -> np.ndarray:
+    """gram_hashes of whole strings that all have the same number of code points."""
+    if not grams:
+        return np.empty(0, dtype=U64)
+    n = len(grams[0])
+    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return gram_hashes(codes, n)[::n]
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in the sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def sums_by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of values (one per word) over each text; 0 for texts without words."""
+    total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def maxima_by_text(values: np.ndarray, counts: np.ndarray, empty: float = 0.0) -> np.ndarray:
+    out = np.full(len(counts), empty, dtype=np.float64)
+    has = counts > 0
+    if len(values):
+        begin = (np.cumsum(counts) - counts)[has]
+        out[has] = np.maximum.reduceat(values, begin)
+    return out
