@@ -1,15 +1,36 @@
-"""Bounded Arrow batches between the JVM and the Python workers."""
+"""What Python workers need: this package, and batches of bounded size."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 ROWS = 512
 BYTES = 32 << 20
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent.parent
+    if root.is_dir():  # else the package itself comes from a shipped archive
+        archive = Path(tempfile.mkdtemp(prefix="strataprobe-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for module in sorted(root.rglob("*.py")):
+                out.write(module, module.relative_to(root.parent))
+        context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
 
 
 def bound_batches(spark: SparkSession, rows: int = ROWS, size: int = BYTES) -> None:
-    """Cap the rows and bytes of a batch for this session, so that long texts fit in a worker's memory."""
+    """Ship the package; cap the rows and bytes of a batch for this session, so that long texts fit in a worker's memory."""
+    ship_package(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = spark.conf.get(key, None)
         digits = "".join(c for c in now or "" if c.isdigit() or c == "-")
