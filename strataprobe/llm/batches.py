@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 ROWS = 512
 BYTES = 32 << 20
@@ -36,3 +39,38 @@ def bound_batches(spark: SparkSession, rows: int = ROWS, size: int = BYTES) -> N
         digits = "".join(c for c in now or "" if c.isdigit() or c == "-")
         if not digits or int(digits) <= 0 or int(digits) > most:
             spark.conf.set(key, str(most))
+
+
+def fetched(df: DataFrame) -> pd.DataFrame:
+    """A result of bounded size on the driver, column by column rather than row by row."""
+    return df.toArrow().to_pandas()
+
+
+def most_frequent(counted: DataFrame, key: str, limit: int | Callable[[Row], int], by: tuple[str, ...] = (), n: str = "n") -> DataFrame:
+    """Rows of the highest counts, at most about limit of them (of each group), without sorting: by a threshold on the count.
+
+    counted should be a written table, as it is read twice.  Only a histogram of
+    counts (eight steps to a doubling) reaches the driver; of the step at a
+    group's edge a share chosen by the hash of the key is taken.
+    """
+    step = F.floor(F.log2(F.col(n).cast("double")) * 8).cast("int")
+    left: dict[tuple, int] = {}
+    edges: dict[tuple, tuple[int, int]] = {}
+    for row in sorted(counted.groupBy(*by, step.alias("_step")).agg(F.count("*").alias("_rows")).collect(), key=lambda r: -r["_step"]):
+        group = tuple(row[c] for c in by)
+        rest = left.setdefault(group, limit(row) if callable(limit) else limit)
+        if group in edges:
+            continue
+        if row["_rows"] > rest:
+            edges[group] = (row["_step"], int(rest / row["_rows"] * 1_000_000))
+        left[group] = rest - row["_rows"]
+    if not edges:
+        return counted
+    share = F.pmod(F.xxhash64(key), F.lit(1_000_000))
+    schema = ", ".join([*(f"_{c} {counted.schema[c].dataType.simpleString()}" for c in by), "_edge int, _share int"])
+    cut = F.broadcast(counted.sparkSession.createDataFrame([(*g, *e) for g, e in edges.items()], schema))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = F.col("_edge").isNull() | (step > F.col("_edge")) | ((step == F.col("_edge")) & (share < F.col("_share")))
+    return counted.join(cut, same, "left").where(inside).select(*counted.columns)

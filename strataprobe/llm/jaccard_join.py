@@ -6,15 +6,20 @@
    first ``n - ceil(t * n) + 1`` in one fixed order.  The order puts tokens that
    very many documents hold last, so prefixes are made of rare tokens.  (Any
    order gives the same links; it only decides how much is compared.)
-3. Nodes whose prefixes share a token are partitioned into groups of similar
-   documents: same most frequent shared prefix token, same magnitude of size,
-   dealt into chunks of bounded weight.  Each group is stored as one row of the
-   token-group matrix: its token union and, per member, its places in the union.
-4. Groups that share a prefix token meet.  For every member the overlap with the
-   other group's union bounds its overlap with any document there; only members
-   that the bound lets through open the group, and for those the intersections
-   are counted exactly, as a product of the two groups' token columns.
-5. A pair of groups gives one row per linked document, never a pair of
+3. Every node has a sketch: how many of its tokens fall into each of 64 classes.
+   The sum of the lesser counts of two sketches bounds their overlap, so nodes
+   that no holder of any of their prefix tokens can link with drop out.
+4. The rest are partitioned into groups of similar documents: same most frequent
+   shared prefix token, same magnitude of size, dealt into chunks of bounded
+   weight.  Each group is stored as one row of the token-group matrix: its token
+   union, per member its places in the union, and the union of its members'
+   sketches (by class the greatest count).
+5. Groups that share a prefix token meet if their sketches let any two of their
+   members link.  Then for every member the overlap with the other group's token
+   union bounds its overlap with any document there; only members that this
+   bound lets through open the group, and for those the intersections are
+   counted exactly, as a product of the two groups' token columns.
+6. A pair of groups gives one row per linked document, never a pair of
    documents; connected components of these rows are the classes.
 
 A class of any size is spread over chunks, so no task holds it, and no link
@@ -41,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .batches import bound_batches
+from .batches import bound_batches, fetched, most_frequent
 from .components import connected_components
 from .scratch import Scratch
 
@@ -52,6 +57,10 @@ COMMON, COMMON_MOST = 32, 1 << 17
 #: Rows of the list of documents to fetch again up to which that list is broadcast.
 BROADCAST_ROWS = 200_000
 _CHUNK_TOKENS = 1 << 21
+#: Classes of a sketch; a count at the limit of a byte bounds nothing.
+CLASSES, _FULL = 64, 255
+#: Holders of a token up to which each is held against the others by sketch; nodes of larger lists all go on.
+LIST = 512
 
 
 def _sets(texts, k: int) -> list[np.ndarray]:
@@ -63,7 +72,7 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def common_tokens(docs: DataFrame, text_col: str, k: int, least: int = COMMON, most: int = COMMON_MOST) -> np.ndarray:
+def common_tokens(docs: DataFrame, text_col: str, k: int, scratch: Scratch, least: int = COMMON, most: int = COMMON_MOST) -> np.ndarray:
     """Tokens that many documents hold, from counts over all documents."""
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,8 +94,19 @@ def common_tokens(docs: DataFrame, text_col: str, k: int, least: int = COMMON, m
             yield flush()
 
     partial = docs.select(F.col(text_col).alias("text")).mapInPandas(counts, "token bigint, n bigint")
-    many = partial.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "token").limit(most)
-    return np.sort(many.select("token").toPandas()["token"].to_numpy(dtype=np.int64).view(T.U64))
+    many = scratch.keep(partial.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "common")
+    return np.sort(fetched(most_frequent(many, "token", most).select("token"))["token"].to_numpy(dtype=np.int64).view(T.U64))
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Tokens of a set by class, a byte each."""
+    return np.minimum(np.bincount((tokens >> T.U64(58)).astype(np.int64), minlength=CLASSES), _FULL).astype(np.uint8)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether sketches (one a row) admit an overlap of at least need."""
+    full = (a == _FULL).any(axis=1) | (b == _FULL).any(axis=1)
+    return full | (np.minimum(a, b).sum(axis=1, dtype=np.int64) >= need)
 
 
 def _need(n, t: Fraction):
@@ -110,9 +130,48 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, t: Fraction,
                 take = len(s) - int(_need(len(s), t)) + 1 if len(s) else 0
                 prefixes.append(np.concatenate((s[~own], s[own]))[:take].view(np.int64))
                 tokens.append(s.tobytes() if null else None)
-            yield pd.DataFrame({"id": batch["id"], "n": n, "digest": [_digest(s) for s in sets], "prefix": prefixes, "tokens": tokens})
+            yield pd.DataFrame({"id": batch["id"], "n": n, "digest": [_digest(s) for s in sets], "sketch": [sketch(s).tobytes() for s in sets], "prefix": prefixes, "tokens": tokens})
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(make, f"id {kind}, n bigint, digest binary, sketch binary, prefix array<bigint>, tokens binary")
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(make, f"id {kind}, n bigint, digest binary, prefix array<bigint>, tokens binary")
+
+def _rows_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, CLASSES)
+
+
+def _linkable(t: Fraction):
+    """Of rows (token, node, n, sketch) sorted by token, the nodes that some other holder of the token may link with."""
+
+    def of(frame: pd.DataFrame) -> np.ndarray:
+        token, n, sketches = frame["token"].to_numpy(), frame["n"].to_numpy(dtype=np.int64), _rows_of(frame["sketch"])
+        keep, step, left = np.zeros(len(frame), dtype=bool), 1, np.arange(len(frame) - 1)
+        while len(left):
+            left = left[token[left] == token[left + step]]
+            large, small = np.maximum(n[left], n[left + step]), np.minimum(n[left], n[left + step])
+            close = left[small * t.denominator >= large * t.numerator]
+            for low in range(0, len(close), 1 << 16):
+                i = close[low : low + (1 << 16)]
+                total = n[i] + n[i + step]
+                need = -(-total * t.numerator // (t.numerator + t.denominator))
+                ok = i[may_link(sketches[i], sketches[i + step], need)]
+                keep[ok] = keep[ok + step] = True
+            step += 1
+            left = left[left + step < len(frame)]
+        return np.unique(frame["node"].to_numpy(dtype=np.int64)[keep])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = held["token"].iloc[-1]
+            cut = int(np.searchsorted((held["token"] == last).to_numpy(), True))  # the last token's rows may go on
+            if cut:
+                yield pd.DataFrame({"node": of(held.iloc[:cut].reset_index(drop=True))})
+                held = held.iloc[cut:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield pd.DataFrame({"node": of(held)})
+
+    return run
 
 
 def _member_tokens(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -134,18 +193,34 @@ def _member_tokens(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
     return found.unionByName(members.where("rep IS NULL").select("group", "node", "copies", "tokens"))
 
 
-def _matrix_row(rows: pd.DataFrame) -> pd.DataFrame:
-    """One group: its token union, and each member's places in it."""
-    rows = rows.drop_duplicates("node").sort_values("node")
-    sets = [np.frombuffer(t, dtype=T.U64) for t in rows["tokens"]]
-    union, places = np.unique(np.concatenate(sets), return_inverse=True)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    return pd.DataFrame(
-        {"group": [rows["group"].iloc[0]], "nodes": [rows["node"].to_numpy(dtype=np.int64).tobytes()], "copies": [rows["copies"].to_numpy(dtype=np.int64).tobytes()], "sizes": [sizes.tobytes()], "union": [union.tobytes()], "places": [places.astype(np.int32).tobytes()]}
-    )
+def _matrix_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Groups, with their members in a list, as rows of the matrix."""
+    for batch in batches:
+        out = []
+        for group, members in zip(batch["group"], batch["members"], strict=True):
+            own = sorted({m["node"]: (m["copies"], m["tokens"]) for m in members}.items())
+            sets = [np.frombuffer(tokens, dtype=T.U64) for _, (_, tokens) in own]
+            union, places = np.unique(np.concatenate(sets), return_inverse=True)
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            widest = np.max([sketch(s) for s in sets], axis=0)
+            nodes, copies = (np.array(x, dtype=np.int64).tobytes() for x in ([n for n, _ in own], [c for _, (c, _) in own]))
+            out.append((group, nodes, copies, sizes.tobytes(), union.tobytes(), places.astype(np.int32).tobytes(), widest.tobytes(), int(sizes.min()), int(sizes.max())))
+        yield pd.DataFrame(out, columns=_NAMES)
+
 
+_MATRIX = "group bigint, nodes binary, copies binary, sizes binary, union binary, places binary, sketch binary, least bigint, most bigint"
+_NAMES = [c.split()[0] for c in _MATRIX.split(", ")]
 
-_MATRIX = "group bigint, nodes binary, copies binary, sizes binary, union binary, places binary"
+
+def _groups_may_link(t: Fraction):
+    @F.pandas_udf("boolean")
+    def check(sketch_a: pd.Series, least_a: pd.Series, sketch_b: pd.Series, least_b: pd.Series) -> pd.Series:
+        if not len(sketch_a):
+            return pd.Series([], dtype=bool)
+        need = _need(np.maximum(least_a.to_numpy(dtype=np.int64), least_b.to_numpy(dtype=np.int64)), t)
+        return pd.Series(may_link(_rows_of(sketch_a), _rows_of(sketch_b), need))
+
+    return check
 
 
 class Group:
@@ -234,15 +309,22 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark)
-    first = scratch.keep(_prefixes(docs, id_col, text_col, k, t, common_tokens(docs, text_col, k)), "prefixes")
-    nodes = first.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
+    first = scratch.keep(_prefixes(docs, id_col, text_col, k, t, common_tokens(docs, text_col, k, scratch)), "prefixes")
+    nodes = first.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "sketch", "prefix", "tokens")])
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = scratch.keep(first.select("id", "n", "digest"), "rows")
     scratch.drop(first)
 
     spread = nodes.select("node", "n", F.explode("prefix").alias("token"))
-    often = spread.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
-    postings = scratch.keep(spread.join(often, "token"), "postings")
+    often = lambda df: df.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    shared = scratch.keep(spread.join(often(spread), "token"), "shared")
+    listed = shared.where(F.col("holders") <= LIST).join(nodes.select("node", "sketch"), "node").select("token", "node", "n", "sketch")
+    near = listed.repartition("token").sortWithinPartitions("token").mapInPandas(_linkable(t), "node bigint").union(shared.where(F.col("holders") > LIST).select("node")).distinct()
+    alive = shared.drop("holders").join(scratch.keep(near, "near"), "node")
+    alive = scratch.keep(alive, "alive")
+    scratch.drop(shared)
+    postings = scratch.keep(alive.join(often(alive), "token"), "postings")
+    scratch.drop(alive)
 
     home = postings.groupBy("node", "n").agg(F.max(F.struct("holders", "token")).alias("home"))
     magnitude = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
@@ -250,14 +332,21 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("home.holders") / room))
     home = scratch.keep(home.select("node", F.xxhash64(F.col("home.token"), magnitude, chunk).alias("group")), "groups")
 
-    members = home.join(nodes.select("node", "rep", "digest", "copies", "tokens"), "node")
-    matrix = scratch.keep(_member_tokens(docs, scratch.keep(members, "members"), id_col, text_col, k).groupBy("group").applyInPandas(_matrix_row, _MATRIX), "matrix")
+    members = scratch.keep(home.join(nodes.select("node", "rep", "digest", "copies", "tokens"), "node"), "members")
+    listed = _member_tokens(docs, members, id_col, text_col, k).groupBy("group").agg(F.collect_list(F.struct("node", "copies", "tokens")).alias("members"))
+    matrix = scratch.keep(listed.mapInPandas(_matrix_rows, _MATRIX), "matrix")
 
     cells = scratch.keep(postings.select("token", "node").join(home, "node").select("token", "group").distinct(), "cells")
     meet = cells.join(cells.withColumnRenamed("group", "group_b"), "token").where("group <= group_b").select("group", "group_b").distinct()
     other = matrix.select(*[F.col(c).alias(f"{c}_b") for c in matrix.columns])
-    blocks = meet.join(matrix, "group").join(other, "group_b")
+    slim = ("group", "sketch", "least", "most")
+    bounded = meet.join(matrix.select(*slim), "group").join(other.select(*[f"{c}_b" for c in slim]), "group_b")
+    sizes = (F.col("least") * t.numerator <= F.col("most_b") * t.denominator) & (F.col("least_b") * t.numerator <= F.col("most") * t.denominator)
+    bounded = bounded.where(sizes).withColumn("open", _groups_may_link(t).asNondeterministic()("sketch", "least", "sketch_b", "least_b")).where("open").select("group", "group_b")
+    blocks = scratch.keep(bounded, "blocks").join(matrix.drop("sketch"), "group").join(other.drop("sketch_b"), "group_b")
     found = scratch.keep(blocks.mapInPandas(_compare(t), "node bigint, near bigint, links bigint"), "links")
+    for done in (matrix, members, cells, postings):
+        scratch.drop(done)
 
     labels = connected_components(found.select(F.col("node").alias("a"), F.col("near").alias("b")), scratch)
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -268,3 +357,23 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
     classes = scratch.keep(classes, "by-digest")
     out = rows.join(classes, "digest", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one_per_class(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, that of the least id; rows without shingles or links all stay.
+
+    Rows are told apart by id and text.  Null ids come after all others; of rows
+    equal in both, one stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    name = F.coalesce(F.lpad(F.col(id_col).cast("string"), 20, "0"), F.lit("~"))
+    keyed = docs.withColumn("_row", F.concat(name, F.lit("/"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    classes = jaccard_classes(keyed, k, threshold, "_row", text_col)
+    linked = classes.where("n_shingles > 0 AND n_links > 0").groupBy(F.col("id").alias("_linked")).agg(F.min("component_id").alias("_class"), F.count("*").alias("_rows"))
+    linked = scratch.keep(linked, "linked")
+    few = F.broadcast(linked) if linked.count() <= BROADCAST_ROWS else linked
+    kept = keyed.join(few, F.col("_row") == F.col("_linked"), "left").where("_class IS NULL OR _class = _row")
+    repeated = not linked.where("_rows > 1").isEmpty()
+    if repeated:
+        kept = kept.where("_rows IS NULL OR _rows = 1").unionByName(kept.where("_rows > 1").dropDuplicates(["_row"]))
+    return kept.select(*docs.columns)

@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .batches import bound_batches
+from .batches import bound_batches, fetched, most_frequent
+from .scratch import Scratch
 
 LONGEST = 5
 TRAIN_DOCS = 50_000
@@ -123,9 +124,8 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         labelled = labelled.where(share < int(1_000_000 * train_docs / total))
     sample = labelled.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = sample.mapInPandas(_counts, "lang string, kind int, hash bigint, n bigint").groupBy("lang", "kind", "hash").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "hash"))
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, words).otherwise(grams))
-    return Model.of(top.drop("rank").toPandas())
+    counts = Scratch(rows.sparkSession).keep(counts, "counts")
+    return Model.of(fetched(most_frequent(counts, "hash", lambda r: words if r["kind"] == 0 else grams, ("lang", "kind"))))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .batches import bound_batches
+from .batches import bound_batches, fetched, most_frequent
 from .language_id import held_out
+from .scratch import Scratch
 
 ORDER = 5
 MAX_GRAMS = 400_000
@@ -158,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = labelled_rows(docs, labels, id_col, text_col, label_col)
     part = F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(1_000_000))
     grams = gram_counts(word_counts(rows.where(part >= 200_000))).withColumn("n", F.col("toxic") + F.col("ordinary"))
-    top = grams.orderBy(F.col("n").desc(), "gram").limit(max_grams).drop("n").toPandas()
+    grams = Scratch(spark).keep(grams, "grams")
+    top = fetched(most_frequent(grams, "gram", max_grams).drop("n")).sort_values("gram")
     model = Model.of(top)
     held = labels.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("curve")), F.lit(1_000_000)) < 200_000).count()
     below = 200_000 if held <= calibration_rows else int(200_000 * calibration_rows / held)
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             e = shared.value.evidence(batch["text"])
             yield pd.DataFrame({"y": batch["toxic"].astype("float64"), "a": e[:, 0], "b": e[:, 1], "c": e[:, 2]})
 
-    seen = rows.where(part < below).mapInPandas(evidence, "y double, a double, b double, c double").toPandas()
+    seen = fetched(rows.where(part < below).mapInPandas(evidence, "y double, a double, b double, c double"))
     if len(top) and seen["y"].nunique() > 1:
         model.curve = _logistic(seen[["a", "b", "c"]].to_numpy(), seen["y"].to_numpy())
     else:
