@@ -111,3 +111,14 @@ def test_scans_read_only_the_columns_they_need(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     plan = profile.numeric_statistics(df, ["l_tax"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_tax:double>" in plan
+
+
+def test_distributed_quantiles_are_exact(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    want = {r["field"]: (r["p25"], r["p50"], r["p75"]) for r in profile.numeric_statistics(df).collect()}
+    for accuracy in (20, 50_000):
+        got = {}
+        for r in profile.distributed_quantiles(df, accuracy=accuracy).collect():
+            got[r.field, r.p] = r.value
+        assert got == pytest.approx({(f, p): v for f, own in want.items() for p, v in zip((0.25, 0.5, 0.75), own, strict=True)})
+    assert profile.distributed_quantiles(df.limit(0)).count() == 0
