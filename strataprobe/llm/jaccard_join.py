@@ -9,13 +9,14 @@
 3. Every node has a sketch: how many of its tokens fall into each of 64 classes.
    The sum of the lesser counts of two sketches bounds their overlap, so nodes
    that no holder of any of their prefix tokens can link with drop out.
-4. The rest are partitioned into groups of similar documents: same most frequent
-   shared prefix token, same magnitude of size, dealt into chunks of bounded
-   weight.  Each group is stored as one row of the token-group matrix: its token
-   union, per member its places in the union, and the union of its members'
-   sketches (by class the greatest count).
-5. Groups that share a prefix token meet if their sketches let any two of their
-   members link.  Then for every member the overlap with the other group's token
+4. The rest are partitioned into groups of similar documents: same least shared
+   prefix token (a MinHash, which near copies mostly have in common), same
+   magnitude of size, dealt into chunks of bounded weight.  Each group is stored
+   as one row of the token-group matrix: its token union, per member its places
+   in the union and its sketch, and the union of the sketches (by class the
+   greatest count).
+5. Groups that share a prefix token meet if their sketches, of the groups and
+   then of the members, let any two of their members link.  Then for every member the overlap with the other group's token
    union bounds its overlap with any document there; only members that this
    bound lets through open the group, and for those the intersections are
    counted exactly, as a product of the two groups' token columns.
@@ -202,23 +203,40 @@ def _matrix_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets = [np.frombuffer(tokens, dtype=T.U64) for _, (_, tokens) in own]
             union, places = np.unique(np.concatenate(sets), return_inverse=True)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            widest = np.max([sketch(s) for s in sets], axis=0)
+            sketches = np.array([sketch(s) for s in sets])
             nodes, copies = (np.array(x, dtype=np.int64).tobytes() for x in ([n for n, _ in own], [c for _, (c, _) in own]))
-            out.append((group, nodes, copies, sizes.tobytes(), union.tobytes(), places.astype(np.int32).tobytes(), widest.tobytes(), int(sizes.min()), int(sizes.max())))
+            out.append((group, nodes, copies, sizes.tobytes(), union.tobytes(), places.astype(np.int32).tobytes(), sketches.tobytes(), sketches.max(axis=0).tobytes(), len(own), int(sizes.min()), int(sizes.max())))
         yield pd.DataFrame(out, columns=_NAMES)
 
 
-_MATRIX = "group bigint, nodes binary, copies binary, sizes binary, union binary, places binary, sketch binary, least bigint, most bigint"
+_MATRIX = "group bigint, nodes binary, copies binary, sizes binary, union binary, places binary, sketches binary, sketch binary, members int, least bigint, most bigint"
 _NAMES = [c.split()[0] for c in _MATRIX.split(", ")]
 
 
+def _members_may_link(sizes_a: bytes, sketches_a: bytes, sizes_b: bytes, sketches_b: bytes, t: Fraction) -> bool:
+    """Whether the sketches let any member of one group link with any of the other."""
+    n, m = np.frombuffer(sizes_a, dtype=np.int64), np.frombuffer(sizes_b, dtype=np.int64)
+    a, b = _rows_of([sketches_a]), _rows_of([sketches_b])
+    if len(n) > len(m):
+        n, m, a, b = m, n, b, a
+    for i in range(len(n)):
+        close = (np.minimum(m, n[i]) * t.denominator >= np.maximum(m, n[i]) * t.numerator).nonzero()[0]
+        need = -(-(m[close] + n[i]) * t.numerator // (t.numerator + t.denominator))
+        if len(close) and may_link(np.broadcast_to(a[i], (len(close), CLASSES)), b[close], need).any():
+            return True
+    return False
+
+
 def _groups_may_link(t: Fraction):
     @F.pandas_udf("boolean")
-    def check(sketch_a: pd.Series, least_a: pd.Series, sketch_b: pd.Series, least_b: pd.Series) -> pd.Series:
+    def check(sketch_a: pd.Series, least_a: pd.Series, sizes_a: pd.Series, sketches_a: pd.Series, sketch_b: pd.Series, least_b: pd.Series, sizes_b: pd.Series, sketches_b: pd.Series) -> pd.Series:
         if not len(sketch_a):
             return pd.Series([], dtype=bool)
         need = _need(np.maximum(least_a.to_numpy(dtype=np.int64), least_b.to_numpy(dtype=np.int64)), t)
-        return pd.Series(may_link(_rows_of(sketch_a), _rows_of(sketch_b), need))
+        out = may_link(_rows_of(sketch_a), _rows_of(sketch_b), need)
+        for i in np.flatnonzero(out).tolist():
+            out[i] = _members_may_link(sizes_a[i], sketches_a[i], sizes_b[i], sketches_b[i], t)
+        return pd.Series(out)
 
     return check
 
@@ -291,10 +309,14 @@ def compare_groups(a: Group, b: Group, t: Fraction, same: bool) -> list[tuple[in
 
 
 def _compare(t: Fraction):
+    """Links between the groups of a row, or within its one group."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            two = "group_b" in batch.columns
             for row in batch.itertuples(index=False):
-                found = compare_groups(Group(row, ""), Group(row, "_b"), t, row.group == row.group_b)
+                group = Group(row, "")
+                found = compare_groups(group, Group(row, "_b") if two else group, t, not two)
                 if found:
                     yield pd.DataFrame(found, columns=["node", "near", "links"])
 
@@ -326,7 +348,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
     postings = scratch.keep(alive.join(often(alive), "token"), "postings")
     scratch.drop(alive)
 
-    home = postings.groupBy("node", "n").agg(F.max(F.struct("holders", "token")).alias("home"))
+    home = postings.groupBy("node", "n").agg(F.min(F.struct("token", "holders")).alias("home"))
     magnitude = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     room = F.greatest(F.lit(1.0), F.least(F.lit(float(MEMBERS)), F.lit(float(WEIGHT)) / F.pow(F.lit(2.0), magnitude)))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("home.holders") / room))
@@ -337,14 +359,19 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
     matrix = scratch.keep(listed.mapInPandas(_matrix_rows, _MATRIX), "matrix")
 
     cells = scratch.keep(postings.select("token", "node").join(home, "node").select("token", "group").distinct(), "cells")
-    meet = cells.join(cells.withColumnRenamed("group", "group_b"), "token").where("group <= group_b").select("group", "group_b").distinct()
-    other = matrix.select(*[F.col(c).alias(f"{c}_b") for c in matrix.columns])
-    slim = ("group", "sketch", "least", "most")
-    bounded = meet.join(matrix.select(*slim), "group").join(other.select(*[f"{c}_b" for c in slim]), "group_b")
+    meet = cells.join(cells.withColumnRenamed("group", "group_b"), "token").where("group < group_b").select("group", "group_b").distinct()
+    slim = matrix.select("group", "sketch", "sizes", "sketches", "least", "most")
+    other = lambda df: df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns])
+    bounded = meet.join(slim, "group").join(other(slim), "group_b")
     sizes = (F.col("least") * t.numerator <= F.col("most_b") * t.denominator) & (F.col("least_b") * t.numerator <= F.col("most") * t.denominator)
-    bounded = bounded.where(sizes).withColumn("open", _groups_may_link(t).asNondeterministic()("sketch", "least", "sketch_b", "least_b")).where("open").select("group", "group_b")
-    blocks = scratch.keep(bounded, "blocks").join(matrix.drop("sketch"), "group").join(other.drop("sketch_b"), "group_b")
-    found = scratch.keep(blocks.mapInPandas(_compare(t), "node bigint, near bigint, links bigint"), "links")
+    looked = [f"{c}{side}" for side in ("", "_b") for c in ("sketch", "least", "sizes", "sketches")]
+    bounded = bounded.where(sizes).withColumn("open", _groups_may_link(t).asNondeterministic()(*looked)).where("open").select("group", "group_b")
+    blocks = scratch.keep(bounded, "blocks")
+    blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks
+    whole = matrix.drop("sketch", "sketches", "members", "least", "most")
+    across = whole.join(blocks, "group").join(other(whole), "group_b").mapInPandas(_compare(t), "node bigint, near bigint, links bigint")
+    within = matrix.where("members > 1").select(*whole.columns).mapInPandas(_compare(t), "node bigint, near bigint, links bigint")
+    found = scratch.keep(within.union(across), "links")
     for done in (matrix, members, cells, postings):
         scratch.drop(done)
 

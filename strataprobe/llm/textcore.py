@@ -98,10 +98,9 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int, whole: bool =
     out = size.astype(U64) * _STEP
     for j in range(k):
         here = words[np.minimum(at + j, n - 1)] * U64(_POW[j + 1]) if j else words[at].copy()
-        if j:
-            here = mix64(here)
-            here[size <= j] = 0
-        out = (out ^ here) * _MIX1 + (here >> _S33)
+        here = mix64(here) if j else here
+        mixed = (out ^ here) * _MIX1 + (here >> _S33)
+        out = np.where(size > j, mixed, out) if whole and j else mixed
     return mix64(out), made
 
 
