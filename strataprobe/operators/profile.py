@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,8 @@ def numeric_statistics(df: DataFrame, fields: list[str] | None = None, approx: b
     """field, count, mean, std (of a sample), min, p25, p50, p75, max of numeric columns in one aggregate.
 
     Quartiles are exact with linear interpolation; approx=True takes sketches of
-    bounded size instead, for columns of very many distinct values.
+    bounded size instead.  For exact quartiles of columns of very many distinct
+    values, whose counts would not fit in one task, see distributed_quantiles.
     """
     names = fields or numeric_fields(df)
     require(df, *names)
@@ -55,6 +56,43 @@ def numeric_statistics(df: DataFrame, fields: list[str] | None = None, approx: b
     return union_all(out) if out else df.sparkSession.createDataFrame([], "field string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
 
 
+def distributed_quantiles(df: DataFrame, fields: list[str] | None = None, probabilities: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 50_000) -> DataFrame:
+    """field, p, value: exact quantiles with linear interpolation for columns of any number of distinct values.
+
+    A sketch brackets every quantile between two values; the next scan counts
+    what lies below each bracket, and only the values inside it (about
+    4 / accuracy of the rows) are counted by value and ranked.  No task holds a
+    column's distinct values, as one exact aggregate would.
+    """
+    names = fields or numeric_fields(df)
+    require(df, *names)
+    spark, out = df.sparkSession, []
+    margin = 2.0 / accuracy
+    for part in slices(names, 25):
+        x = {c: present(c, df.schema[c].dataType).cast("double") for c in part}
+        ends = [min(1.0, max(0.0, p + m)) for p in probabilities for m in (-margin, margin)]
+        sketch = df.agg(*[a.alias(f"{k}{i}") for i, c in enumerate(part) for k, a in (("n", F.count(x[c])), ("a", F.min(x[c])), ("z", F.max(x[c])), ("q", F.percentile_approx(x[c], ends, accuracy)))]).first()
+        brackets = []
+        for i, c in enumerate(part):
+            if sketch[f"n{i}"]:
+                for j, p in enumerate(probabilities):
+                    low = sketch[f"a{i}"] if p - margin <= 0 else sketch[f"q{i}"][2 * j]
+                    high = sketch[f"z{i}"] if p + margin >= 1 else sketch[f"q{i}"][2 * j + 1]
+                    brackets.append((c, p, low, high, p * (sketch[f"n{i}"] - 1)))
+        if not brackets:
+            continue
+        below = df.agg(*[F.count_if(x[c] < low).alias(f"b{i}") for i, (c, _, low, _, _) in enumerate(brackets)]).first()
+        known = spark.createDataFrame([(i, c, p, rank, below[f"b{i}"]) for i, (c, p, _, _, rank) in enumerate(brackets)], "i int, field string, p double, rank double, below long")
+        inside = F.explode(F.array(*[F.when(x[c].between(low, high), F.struct(F.lit(i).alias("i"), x[c].alias("v"))) for i, (c, _, low, high, _) in enumerate(brackets)]))
+        counted = df.select(inside.alias("r")).where("r IS NOT NULL").select("r.i", "r.v").groupBy("i", "v").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = counted.withColumn("upto", upto).join(F.broadcast(known), "i").withColumn("upto", F.col("upto") + F.col("below"))
+        value = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+        both = ranked.groupBy("i", "field", "p", "rank").agg(value(F.floor("rank")).alias("low"), value(F.ceil("rank")).alias("high"))
+        out.append(both.select("field", "p", (F.col("low") + (F.col("rank") - F.floor("rank")) * (F.col("high") - F.col("low"))).alias("value")))
+    return union_all(out) if out else spark.createDataFrame([], "field string, p double, value double")
+
+
 def population_statistics(df: DataFrame, fields: list[str] | None = None, places: int = 4) -> DataFrame:
     """field, count, mean, std (of the whole population), min, max; mean and std rounded.  Columns without values are left out."""
     names = fields or numeric_fields(df)

@@ -79,8 +79,13 @@ for _t in NUMERIC:
 
 query(
     "population_statistics_lineitem",
-    union([f"SELECT '{c}' AS field, count({c}) AS count, round(avg({c}::DOUBLE), 3) + 0.0 AS mean, round(stddev_pop({c}::DOUBLE), 3) + 0.0 AS std, min({c}::DOUBLE) + 0.0 AS min, max({c}::DOUBLE) + 0.0 AS max FROM lineitem" for c in NUMERIC["lineitem"]]),
-)(lambda spark, d: rounded(profile.population_statistics(table(spark, d, "lineitem")), "mean", "std", places=3))
+    union([f"SELECT '{c}' AS field, count({c}) AS count, round(avg({c}::DOUBLE), 4) + 0.0 AS mean, round(stddev_pop({c}::DOUBLE), 4) + 0.0 AS std, min({c}::DOUBLE) + 0.0 AS min, max({c}::DOUBLE) + 0.0 AS max FROM lineitem" for c in NUMERIC["lineitem"]]),
+)(lambda spark, d: rounded(profile.population_statistics(table(spark, d, "lineitem")), "mean", "std"))
+
+query(
+    "distributed_quantiles_lineitem",
+    union([f"SELECT '{c}' AS field, {p}::DOUBLE AS p, round(quantile_cont({c}::DOUBLE, {p}), 4) + 0.0 AS value FROM lineitem" for c in ("l_extendedprice", "l_tax") for p in (0.25, 0.5, 0.75)]),
+)(lambda spark, d: rounded(profile.distributed_quantiles(table(spark, d, "lineitem"), ["l_extendedprice", "l_tax"]), "value"))
 
 CATEGORICAL = {"customer": ("c_name", "c_mktsegment"), "orders": ("o_orderstatus", "o_orderdate", "o_orderpriority"), "events": ("ts", "event_type", "props"), "documents": ("text", "lang", "source"), "conversations": ("role", "text")}
 _TIMES = {"o_orderdate", "l_shipdate", "ts"}
