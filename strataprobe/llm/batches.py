@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -41,6 +42,18 @@ def bound_batches(spark: SparkSession, rows: int = ROWS, size: int = BYTES) -> N
             spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """So many rows a batch in what is run inside; for rows that are megabytes each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fetched(df: DataFrame) -> pd.DataFrame:
     """A result of bounded size on the driver, column by column rather than row by row."""
     return df.toArrow().to_pandas()

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .batches import bound_batches, fetched, most_frequent
+from .batches import bound_batches, fetched, most_frequent, rows_per_batch
 from .components import connected_components
 from .scratch import Scratch
 
@@ -58,6 +58,8 @@ COMMON, COMMON_MOST = 32, 1 << 17
 #: Rows of the list of documents to fetch again up to which that list is broadcast.
 BROADCAST_ROWS = 200_000
 _CHUNK_TOKENS = 1 << 21
+#: Groups, of a few megabytes at most, that a worker holds at a time.
+GROUPS_PER_BATCH = 8
 #: Classes of a sketch; a count at the limit of a byte bounds nothing.
 CLASSES, _FULL = 64, 255
 #: Holders of a token up to which each is held against the others by sketch; nodes of larger lists all go on.
@@ -356,7 +358,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
 
     members = scratch.keep(home.join(nodes.select("node", "rep", "digest", "copies", "tokens"), "node"), "members")
     listed = _member_tokens(docs, members, id_col, text_col, k).groupBy("group").agg(F.collect_list(F.struct("node", "copies", "tokens")).alias("members"))
-    matrix = scratch.keep(listed.mapInPandas(_matrix_rows, _MATRIX), "matrix")
+    with rows_per_batch(spark, GROUPS_PER_BATCH):
+        matrix = scratch.keep(listed.mapInPandas(_matrix_rows, _MATRIX), "matrix")
 
     cells = scratch.keep(postings.select("token", "node").join(home, "node").select("token", "group").distinct(), "cells")
     meet = cells.join(cells.withColumnRenamed("group", "group_b"), "token").where("group < group_b").select("group", "group_b").distinct()
@@ -366,12 +369,14 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
     sizes = (F.col("least") * t.numerator <= F.col("most_b") * t.denominator) & (F.col("least_b") * t.numerator <= F.col("most") * t.denominator)
     looked = [f"{c}{side}" for side in ("", "_b") for c in ("sketch", "least", "sizes", "sketches")]
     bounded = bounded.where(sizes).withColumn("open", _groups_may_link(t).asNondeterministic()(*looked)).where("open").select("group", "group_b")
-    blocks = scratch.keep(bounded, "blocks")
+    with rows_per_batch(spark, 16 * GROUPS_PER_BATCH):
+        blocks = scratch.keep(bounded, "blocks")
     blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks
     whole = matrix.drop("sketch", "sketches", "members", "least", "most")
     across = whole.join(blocks, "group").join(other(whole), "group_b").mapInPandas(_compare(t), "node bigint, near bigint, links bigint")
     within = matrix.where("members > 1").select(*whole.columns).mapInPandas(_compare(t), "node bigint, near bigint, links bigint")
-    found = scratch.keep(within.union(across), "links")
+    with rows_per_batch(spark, GROUPS_PER_BATCH):
+        found = scratch.keep(within.union(across), "links")
     for done in (matrix, members, cells, postings):
         scratch.drop(done)
 

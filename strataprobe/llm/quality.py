@@ -45,7 +45,7 @@ _STOP = _class_table(lambda c: c in ".!?")
 _LETTER = np.array([i >= 128 or chr(i).isalpha() for i in range(256)])
 
 #: Column of ``shape_features`` by name.
-FEATURES = ("words", "word_length", "letters", "symbols", "digits", "uppers", "stops", "distinct", "line_repeats", "top_word")
+FEATURES = ("words", "word_length", "letters", "symbols", "digits", "uppers", "stops", "distinct", "line_repeats", "top_word", "echoes")
 
 
 def _per_text(buffer: np.ndarray, table: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -64,26 +64,31 @@ def shape_features(raw: list[bytes], words: np.ndarray, counts: np.ndarray) -> n
     for i, (t, c, e) in enumerate(zip(raw, counts.tolist(), ends.tolist(), strict=True)):
         if c:
             n = np.unique(words[e - c : e], return_counts=True)[1]
-            distinct[i], top[i] = len(n) / c, n.max() / c
+            distinct[i], top[i] = len(n) / c, (n.max() - 1) / c
         own = [x for x in t.split(b"\n") if x.strip()]
         lines[i] = 1 - len(set(own)) / len(own) if own else 0.0
     blanks = _per_text(buffer, T.WHITE, sizes)
-    return np.column_stack((counts, (sizes - blanks) / np.maximum(counts, 1), share(_LETTER), share(_SYMBOL), share(_DIGIT), share(_UPPER), _per_text(buffer, _STOP, sizes) / np.maximum(counts, 1), distinct, lines, top))
+    same = np.zeros(len(words))
+    same[1:] = words[1:] == words[:-1]
+    if len(words):
+        same[(ends - counts)[counts > 0]] = 0  # a text's first word has none before it
+    return np.column_stack((counts, (sizes - blanks) / np.maximum(counts, 1), share(_LETTER), share(_SYMBOL), share(_DIGIT), share(_UPPER), _per_text(buffer, _STOP, sizes) / np.maximum(counts, 1), distinct, lines, top, T.sums_by_text(same, counts) / np.maximum(counts, 1)))
 
 
 #: Labellers: feature, whether high or low values are bad, bad beyond, good within (else no vote).
 LABELLERS: tuple[tuple[str, str, float, float], ...] = (
-    ("words", "low", 5, 30),
+    ("words", "low", 1, 20),
     ("word_length", "high", 12, 9),
     ("word_length", "low", 2.5, 3.5),
-    ("letters", "low", 0.65, 0.74),
+    ("letters", "low", 0.5, 0.7),
     ("symbols", "high", 0.06, 0.01),
-    ("digits", "high", 0.12, 0.03),
+    ("digits", "high", 0.25, 0.06),
     ("uppers", "high", 0.3, 0.08),
     ("stops", "low", 0.005, 0.03),
-    ("distinct", "low", 0.15, 0.3),
-    ("line_repeats", "high", 0.4, 0.1),
-    ("top_word", "high", 0.3, 0.2),
+    ("distinct", "low", 0.2, 0.35),
+    ("line_repeats", "high", 0.3, 0.1),
+    ("top_word", "high", 0.2, 0.12),
+    ("echoes", "high", 0.1, 0.03),
 )
 
 
