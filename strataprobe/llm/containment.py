@@ -121,6 +121,12 @@ class ContainmentIndex:
 
     def matches(self, texts) -> list[list[tuple]]:
         """Of each text, (item id, item's shingles, shared shingles, first word of a window that found it)."""
+        out: list[list[tuple]] = []
+        for part in T.portions(texts):
+            out += self._matches(texts[part])
+        return out
+
+    def _matches(self, texts) -> list[list[tuple]]:
         out: list[list[tuple]] = [[] for _ in range(len(texts))]
         words, counts = T.word_hashes(T.as_bytes(texts, "unicode"), T.NON_WORD)
         for length, classes in self.classes.items():

@@ -67,8 +67,11 @@ LIST = 512
 
 
 def _sets(texts, k: int) -> list[np.ndarray]:
-    words, counts = T.word_hashes(T.as_bytes(texts))
-    return T.distinct_sets(*T.shingle_hashes(words, counts, k))
+    out: list[np.ndarray] = []
+    for part in T.portions(texts):
+        words, counts = T.word_hashes(T.as_bytes(texts[part]))
+        out += T.distinct_sets(*T.shingle_hashes(words, counts, k))
+    return out
 
 
 def _digest(tokens: np.ndarray) -> bytes:

@@ -83,6 +83,11 @@ class Model:
         return out
 
     def predict(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Languages and scores."""
+        parts = [self._predict(texts[p]) for p in T.portions(texts)] or [(np.empty(0, dtype=object), np.empty(0))]
+        return np.concatenate([n for n, _ in parts]), np.concatenate([s for _, s in parts])
+
+    def _predict(self, texts) -> tuple[np.ndarray, np.ndarray]:
         words = T.Words(texts)
         means = T.sums_by_text(self.word_scores(words)[words.which], words.counts) / np.maximum(words.counts, 1)[:, None]
         power = np.exp((means - means.max(axis=1, keepdims=True)) * np.minimum(words.counts, 20)[:, None])
@@ -97,8 +102,7 @@ class Model:
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of words and n-grams by language, one set of rows per batch."""
     for batch in batches:
-        for lang, rows in batch.groupby("lang"):
-            words = T.Words(rows["text"])
+        for lang, words in ((lang, T.Words(rows["text"].iloc[p])) for lang, rows in batch.groupby("lang") for p in T.portions(rows["text"])):
             if not len(words.hashes):
                 continue
             times = np.bincount(words.which, minlength=len(words.distinct))

@@ -45,7 +45,7 @@ _STOP = _class_table(lambda c: c in ".!?")
 _LETTER = np.array([i >= 128 or chr(i).isalpha() for i in range(256)])
 
 #: Column of ``shape_features`` by name.
-FEATURES = ("words", "word_length", "letters", "symbols", "digits", "uppers", "stops", "distinct", "line_repeats", "top_word", "echoes")
+FEATURES = ("words", "word_length", "letters", "symbols", "digits", "uppers", "stops", "distinct", "line_repeats", "top_word", "echoes", "marks")
 
 
 def _per_text(buffer: np.ndarray, table: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -72,7 +72,7 @@ def shape_features(raw: list[bytes], words: np.ndarray, counts: np.ndarray) -> n
     same[1:] = words[1:] == words[:-1]
     if len(words):
         same[(ends - counts)[counts > 0]] = 0  # a text's first word has none before it
-    return np.column_stack((counts, (sizes - blanks) / np.maximum(counts, 1), share(_LETTER), share(_SYMBOL), share(_DIGIT), share(_UPPER), _per_text(buffer, _STOP, sizes) / np.maximum(counts, 1), distinct, lines, top, T.sums_by_text(same, counts) / np.maximum(counts, 1)))
+    return np.column_stack((counts, (sizes - blanks) / np.maximum(counts, 1), share(_LETTER), share(_SYMBOL), share(_DIGIT), share(_UPPER), _per_text(buffer, _STOP, sizes) / np.maximum(counts, 1), distinct, lines, top, T.sums_by_text(same, counts) / np.maximum(counts, 1), _per_text(buffer, _SYMBOL, sizes) / np.maximum(counts, 1)))
 
 
 #: Labellers: feature, whether high or low values are bad, bad beyond, good within (else no vote).
@@ -80,8 +80,9 @@ LABELLERS: tuple[tuple[str, str, float, float], ...] = (
     ("words", "low", 1, 20),
     ("word_length", "high", 12, 9),
     ("word_length", "low", 2.5, 3.5),
-    ("letters", "low", 0.5, 0.7),
+    ("letters", "low", 0.55, 0.7),
     ("symbols", "high", 0.06, 0.01),
+    ("marks", "high", 0.3, 0.05),
     ("digits", "high", 0.25, 0.06),
     ("uppers", "high", 0.3, 0.08),
     ("stops", "low", 0.005, 0.03),
@@ -145,6 +146,11 @@ class _Read:
         return np.column_stack((np.ones(len(x)), x, x**2))
 
 
+def _reads(texts) -> Iterator[_Read]:
+    for part in T.portions(texts):
+        yield _Read(texts[part])
+
+
 class Scorer:
     """A linear model: the mean weight of a text's hashed words, and weights of its shape."""
 
@@ -156,8 +162,11 @@ class Scorer:
 
     def score(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Scores, and patterns of votes."""
-        read = _Read(texts)
-        return 1 / (1 + np.exp(-np.clip(self.margin(read.bins, read.counts, read.scaled()), -40, 40))), votes(read.features)
+        scores, patterns = [np.empty(0)], [np.empty((0, len(LABELLERS)), dtype=np.int8)]
+        for read in _reads(texts):
+            scores.append(1 / (1 + np.exp(-np.clip(self.margin(read.bins, read.counts, read.scaled()), -40, 40))))
+            patterns.append(votes(read.features))
+        return np.concatenate(scores), np.concatenate(patterns)
 
     @classmethod
     def train(cls, bins: list[np.ndarray], scaled: np.ndarray, target: np.ndarray, rounds: int = 12, batch: int = 256, rate: float = 0.3) -> Scorer:
@@ -196,16 +205,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     def pattern_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counted: dict[str, int] = {}
         for batch in batches:
-            for v in _vote_text(votes(_Read(batch["text"]).features)):
-                counted[v] = counted.get(v, 0) + 1
+            for read in _reads(batch["text"]):
+                for v in _vote_text(votes(read.features)):
+                    counted[v] = counted.get(v, 0) + 1
         yield pd.DataFrame({"votes": list(counted), "n": list(counted.values())}).astype({"votes": object, "n": "int64"})
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            read = _Read(batch["text"])
-            ends = np.cumsum(read.counts)
-            bins = [read.bins[e - c : e].tobytes() for c, e in zip(read.counts.tolist(), ends.tolist(), strict=True)]
-            yield pd.DataFrame({"bins": bins, "scaled": [x.tobytes() for x in read.scaled()], "votes": _vote_text(votes(read.features))})
+            for read in _reads(batch["text"]):
+                ends = np.cumsum(read.counts)
+                bins = [read.bins[e - c : e].tobytes() for c, e in zip(read.counts.tolist(), ends.tolist(), strict=True)]
+                yield pd.DataFrame({"bins": bins, "scaled": [x.tobytes() for x in read.scaled()], "votes": _vote_text(votes(read.features))})
 
     texts = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, F.lit("quality")), F.lit(1_000_000)).alias("part"))
     counted = fetched(texts.select("text").mapInPandas(pattern_counts, "votes string, n bigint").groupBy("votes").agg(F.sum("n").alias("n"))).sort_values("votes")

@@ -56,6 +56,19 @@ def as_bytes(texts, lower: str = "ascii") -> list[bytes]:
     return [t.lower() for t in raw] if lower == "ascii" else raw
 
 
+def portions(texts, size: int = 1 << 20) -> list[slice]:
+    """Runs of texts of about a million characters each (one text at least): what is hashed at a time, so that arrays stay small."""
+    out, begin, total = [], 0, 0
+    for i, t in enumerate(texts):
+        total += len(t) if t else 0
+        if total >= size:
+            out.append(slice(begin, i + 1))
+            begin, total = i + 1, 0
+    if begin < len(texts):
+        out.append(slice(begin, len(texts)))
+    return out
+
+
 def word_hashes(texts: list[bytes], gap: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and the number of words of each text."""
     counts = np.zeros(len(texts), dtype=np.int64)
