@@ -16,6 +16,7 @@ from .decontamination import contaminations
 from .exact_dedup import deduplicate_exact
 from .jaccard_join import jaccard_classes
 from .license_scan import scan_licenses
+from .license_templates import TEMPLATES
 from .mixing import mix_sources
 from .sharding import shard_documents
 from .token_counts import count_tokens
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("window_word")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+
+def _containment_sql(items: str) -> str:
+    """doc_id, item_id, n, shared of documents that hold four fifths of an item's five-word shingles; items(item_id, text) have five words at least."""
+    words = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+        WITH words AS (SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, {words} AS w FROM documents UNION ALL SELECT 'i', CAST(item_id AS VARCHAR), {words} FROM {items}),
+        grams AS (SELECT DISTINCT kind, id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+        sizes AS (SELECT id, count(*) AS n FROM grams WHERE kind = 'i' GROUP BY id),
+        found AS (SELECT CAST(d.id AS BIGINT) AS doc_id, i.id AS item_id, s.n, count(*) AS shared FROM grams i JOIN grams d ON d.kind = 'd' AND i.kind = 'i' AND d.g = i.g JOIN sizes s ON s.id = i.id
+                  GROUP BY d.id, i.id, s.n HAVING count(*) * 5 >= s.n * 4)
+    """
+
+
+_WORDINGS = "(VALUES " + ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in TEMPLATES.items()) + ") AS wording(item_id, text)"
+
 ORACLES: dict[str, str] = {
+    "op1_license_scan": _containment_sql(_WORDINGS)
+    + "SELECT doc_id, split_part(item_id, '/', 1) AS license, split_part(item_id, '/', 2) AS wording, n AS n_template_shingles, shared AS n_shared, shared / n::DOUBLE AS containment FROM found",
+    "op6_decontamination": _containment_sql("benchmark") + "SELECT doc_id, CAST(item_id AS BIGINT) AS item_id, n AS n_item_shingles, shared AS n_shared, shared / n::DOUBLE AS containment FROM found",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b USING (g) JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id
+                  WHERE a.doc_id <> b.doc_id AND least(s.n, t.n) * 10 >= greatest(s.n, t.n) * 9
+                  GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 100 * count(*) >= 90 * (s.n + t.n - count(*))),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, coalesce(k.n, 0) AS n_links
+        FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS n FROM links GROUP BY x) k USING (doc_id)
+        JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
                count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
