@@ -9,9 +9,9 @@
 3. Every node has a sketch: how many of its tokens fall into each of 64 classes.
    The sum of the lesser counts of two sketches bounds their overlap, so nodes
    that no holder of any of their prefix tokens can link with drop out.
-4. The rest are partitioned into groups of similar documents: same least shared
-   prefix token (a MinHash, which near copies mostly have in common), same
-   magnitude of size, dealt into chunks of bounded weight.  Each group is stored
+4. The rest are partitioned into groups of similar documents: same most frequent
+   prefix token (counted among the nodes that are left, so that it is mostly that
+   of a family of copies), same magnitude of size, dealt into chunks of bounded weight.  Each group is stored
    as one row of the token-group matrix: its token union, per member its places
    in the union and its sketch, and the union of the sketches (by class the
    greatest count).
@@ -347,13 +347,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
     shared = scratch.keep(spread.join(often(spread), "token"), "shared")
     listed = shared.where(F.col("holders") <= LIST).join(nodes.select("node", "sketch"), "node").select("token", "node", "n", "sketch")
     near = listed.repartition("token").sortWithinPartitions("token").mapInPandas(_linkable(t), "node bigint").union(shared.where(F.col("holders") > LIST).select("node")).distinct()
-    alive = shared.drop("holders").join(scratch.keep(near, "near"), "node")
-    alive = scratch.keep(alive, "alive")
+    alive = scratch.keep(shared.drop("holders").join(scratch.keep(near, "near"), "node"), "alive")
     scratch.drop(shared)
     postings = scratch.keep(alive.join(often(alive), "token"), "postings")
     scratch.drop(alive)
 
-    home = postings.groupBy("node", "n").agg(F.min(F.struct("token", "holders")).alias("home"))
+    home = postings.groupBy("node", "n").agg(F.max(F.struct("holders", "token")).alias("home"))
     magnitude = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     room = F.greatest(F.lit(1.0), F.least(F.lit(float(MEMBERS)), F.lit(float(WEIGHT)) / F.pow(F.lit(2.0), magnitude)))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("home.holders") / room))

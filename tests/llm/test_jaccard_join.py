@@ -109,3 +109,29 @@ def test_hash_of_words_depends_on_each_byte_and_place():
     hashes, counts = T.word_hashes([b" ".join(words), b"", b"ab"])
     assert len(set(hashes[:-1].tolist())) == len(words) and hashes[-1] == hashes[0] and counts.tolist() == [10, 0, 1]
     assert np.array_equal(T.word_hashes([b"ab"])[0], hashes[:1])
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, monkeypatch, most, seed):
+    """In one task and by distributed rounds: chains, stars, loops and random edges."""
+    from strataprobe.llm import components
+    from strataprobe.llm.scratch import Scratch
+
+    monkeypatch.setattr(components, "ONE_TASK", most)
+    r = random.Random(seed)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(300, 300), (9, 8)] + [(r.randrange(400, 500), r.randrange(400, 500)) for _ in range(60)]
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    found = {x.node: x.label for x in components.connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert {x: found[x] for x in linked} == {x: top(x) for x in linked}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
