@@ -58,6 +58,8 @@ COMMON, COMMON_MOST = 32, 1 << 17
 #: Rows of the list of documents to fetch again up to which that list is broadcast.
 BROADCAST_ROWS = 200_000
 _CHUNK_TOKENS = 1 << 21
+#: Smaller groups, about, that travel together to a larger one.
+BUNDLE = 32
 #: Groups, of a few megabytes at most, that a worker holds at a time.
 GROUPS_PER_BATCH = 8
 #: Classes of a sketch; a count at the limit of a byte bounds nothing.
@@ -249,8 +251,8 @@ def _groups_may_link(t: Fraction):
 class Group:
     """A row of the matrix, unpacked."""
 
-    def __init__(self, row, suffix: str):
-        get = lambda name, kind: np.frombuffer(getattr(row, name + suffix), dtype=kind)
+    def __init__(self, row: dict):
+        get = lambda name, kind: np.frombuffer(row[name], dtype=kind)
         self.nodes, self.copies, self.sizes = get("nodes", np.int64), get("copies", np.int64), get("sizes", np.int64)
         self.union, self.places = get("union", T.U64), get("places", np.int32)
         self.begin = np.cumsum(self.sizes) - self.sizes
@@ -273,7 +275,9 @@ class Group:
 
 def compare_groups(a: Group, b: Group, t: Fraction, same: bool) -> list[tuple[int, int, int]]:
     """Of a pair of groups, (node, least node that it is connected with here, copies of all that it links with)."""
-    both, in_a, in_b = np.intersect1d(a.union, b.union, assume_unique=True, return_indices=True)
+    at, shared = T.find(a.union, b.union)
+    in_a, in_b = at[shared], np.flatnonzero(shared)
+    both = in_b
     column_a, column_b = np.full(len(a.union), -1, dtype=np.int64), np.full(len(b.union), -1, dtype=np.int64)
     column_a[in_a], column_b[in_b] = np.arange(len(both)), np.arange(len(both))
     rows_a = np.flatnonzero(a.bound(column_a >= 0) >= _need(a.sizes, t))
@@ -314,14 +318,14 @@ def compare_groups(a: Group, b: Group, t: Fraction, same: bool) -> list[tuple[in
 
 
 def _compare(t: Fraction):
-    """Links between the groups of a row, or within its one group."""
+    """Links between a row's group and those listed with it, or without a list within its own group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            two = "group_b" in batch.columns
-            for row in batch.itertuples(index=False):
-                group = Group(row, "")
-                found = compare_groups(group, Group(row, "_b") if two else group, t, not two)
+            for row in batch.to_dict("records"):
+                group, found = Group(row), []
+                for other in row.get("others", [None]):
+                    found += compare_groups(group, group if other is None else Group(other), t, other is None)
                 if found:
                     yield pd.DataFrame(found, columns=["node", "near", "links"])
 
@@ -365,17 +369,23 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
 
     cells = scratch.keep(postings.select("token", "node").join(home, "node").select("token", "group").distinct(), "cells")
     meet = cells.join(cells.withColumnRenamed("group", "group_b"), "token").where("group < group_b").select("group", "group_b").distinct()
-    slim = matrix.select("group", "sketch", "sizes", "sketches", "least", "most")
+    slim = matrix.select("group", "sketch", "sizes", "sketches", "least", "most", F.octet_length("places").alias("weight"))
     other = lambda df: df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns])
     bounded = meet.join(slim, "group").join(other(slim), "group_b")
     sizes = (F.col("least") * t.numerator <= F.col("most_b") * t.denominator) & (F.col("least_b") * t.numerator <= F.col("most") * t.denominator)
     looked = [f"{c}{side}" for side in ("", "_b") for c in ("sketch", "least", "sizes", "sketches")]
-    bounded = bounded.where(sizes).withColumn("open", _groups_may_link(t).asNondeterministic()(*looked)).where("open").select("group", "group_b")
+    bounded = bounded.where(sizes).withColumn("open", _groups_may_link(t).asNondeterministic()(*looked)).where("open")
+    heavy = (F.col("weight") > F.col("weight_b")) | ((F.col("weight") == F.col("weight_b")) & (F.col("group") < F.col("group_b")))
+    bounded = bounded.select(F.when(heavy, F.col("group")).otherwise(F.col("group_b")).alias("large"), F.when(heavy, F.col("group_b")).otherwise(F.col("group")).alias("small"))
     with rows_per_batch(spark, 16 * GROUPS_PER_BATCH):
         blocks = scratch.keep(bounded, "blocks")
-    blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks
+    # the smaller group travels; the larger one is sent once to every bundle of those that it meets
+    packs = blocks.groupBy("large").agg(F.ceil(F.count("*") / F.lit(BUNDLE)).alias("bundles"))
+    blocks = blocks.join(packs, "large").select("large", F.col("small").alias("group"), F.pmod(F.xxhash64("small"), F.col("bundles")).alias("bundle"))
+    blocks = F.broadcast(blocks) if matrix.count() <= BROADCAST_ROWS and blocks.count() <= BROADCAST_ROWS else blocks
     whole = matrix.drop("sketch", "sketches", "members", "least", "most")
-    across = whole.join(blocks, "group").join(other(whole), "group_b").mapInPandas(_compare(t), "node bigint, near bigint, links bigint")
+    bundles = whole.join(blocks, "group").groupBy("large", "bundle").agg(F.collect_list(F.struct(*whole.columns)).alias("others"))
+    across = whole.join(bundles.withColumnRenamed("large", "group"), "group").select(*whole.columns, "others").mapInPandas(_compare(t), "node bigint, near bigint, links bigint")
     within = matrix.where("members > 1").select(*whole.columns).mapInPandas(_compare(t), "node bigint, near bigint, links bigint")
     with rows_per_batch(spark, GROUPS_PER_BATCH):
         found = scratch.keep(within.union(across), "links")
