@@ -132,3 +132,25 @@ def test_operators_by_name(survey):
     assert run("spatial_extent", survey, resource="samples", lat_column="lat", lon_column="lon").first().valid_point_count == 2
     with pytest.raises(KeyError):
         run("nothing", survey)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from strataprobe.__main__ import main
+
+    (tmp_path / "a.csv").write_text("id,day\n1,2020-01-01\n2,2020-01-03\n")
+    assert main([str(tmp_path / "a.csv"), "--name", "small_table"]) == 0
+    assert json.loads(capsys.readouterr().out)["temporal_coverage"] == "2020-01-01 to 2020-01-03"
+    assert main([str(tmp_path / "gone.csv")]) == 2
+
+
+def test_generators():
+    from types import SimpleNamespace as N
+
+    from strataprobe.plans.generators import ChatGenerator, ContentGenerator, create_generator
+
+    asked = []
+    chat = N(chat=N(completions=N(create=lambda **kw: asked.append(kw) or N(choices=[N(message=N(content="yes"))]))))
+    assert ChatGenerator(chat, "m").generate("q", 0.3) == "yes" and asked[0]["temperature"] == 0.3
+    assert ContentGenerator(N(models=N(generate_content=lambda **kw: N(text="ok"))), "m").generate("q") == "ok"
+    with pytest.raises(ValueError):
+        create_generator("nobody", "m", "k")
