@@ -6,7 +6,8 @@
    first ``n - ceil(t * n) + 1`` in one fixed order.  The order puts tokens that
    very many documents hold last, so prefixes are made of rare tokens.  (Any
    order gives the same links; it only decides how much is compared.)
-3. Every node has a sketch: how many of its tokens fall into each of 64 classes.
+3. Every node has a sketch: how many of its tokens fall into each of 64 classes
+   (of members of a group, into more classes the larger they are).
    The sum of the lesser counts of two sketches bounds their overlap, so nodes
    that no holder of any of their prefix tokens can link with drop out.
 4. The rest are partitioned into groups of similar documents: same most frequent
@@ -106,14 +107,21 @@ def common_tokens(docs: DataFrame, text_col: str, k: int, scratch: Scratch, leas
     return np.sort(fetched(most_frequent(many, "token", most).select("token"))["token"].to_numpy(dtype=np.int64).view(T.U64))
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Tokens of a set by class, a byte each."""
-    return np.minimum(np.bincount((tokens >> T.U64(58)).astype(np.int64), minlength=CLASSES), _FULL).astype(np.uint8)
+def sketch(tokens: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Tokens of a set by class (a power of two of classes, by their first bits), a byte each."""
+    return np.minimum(np.bincount((tokens >> T.U64(65 - classes.bit_length())).astype(np.int64), minlength=classes), _FULL).astype(np.uint8)
+
+
+def fine_classes(n: int) -> int:
+    """Classes for sets of about n tokens, of which then four to eight fall into each."""
+    return 1 << min(13, max(6, int(n).bit_length() - 3))
 
 
 def may_link(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Whether sketches (one a row) admit an overlap of at least need."""
+    """Whether sketches (one a row) admit an overlap of at least need; of sketches of different fineness the finer is summed up."""
     full = (a == _FULL).any(axis=1) | (b == _FULL).any(axis=1)
+    least = min(a.shape[1], b.shape[1])
+    a, b = (x if x.shape[1] == least else x.reshape(len(x), least, -1).sum(axis=2, dtype=np.int64) for x in (a, b))
     return full | (np.minimum(a, b).sum(axis=1, dtype=np.int64) >= need)
 
 
@@ -143,8 +151,8 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, t: Fraction,
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(make, f"id {kind}, n bigint, digest binary, sketch binary, prefix array<bigint>, tokens binary")
 
 
-def _rows_of(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, CLASSES)
+def _rows_of(column, classes: int = CLASSES) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, classes)
 
 
 def _linkable(t: Fraction):
@@ -210,7 +218,7 @@ def _matrix_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets = [np.frombuffer(tokens, dtype=T.U64) for _, (_, tokens) in own]
             union, places = np.unique(np.concatenate(sets), return_inverse=True)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            sketches = np.array([sketch(s) for s in sets])
+            sketches = np.array([sketch(s, fine_classes(sizes.max())) for s in sets])
             nodes, copies = (np.array(x, dtype=np.int64).tobytes() for x in ([n for n, _ in own], [c for _, (c, _) in own]))
             out.append((group, nodes, copies, sizes.tobytes(), union.tobytes(), places.astype(np.int32).tobytes(), sketches.tobytes(), sketches.max(axis=0).tobytes(), len(own), int(sizes.min()), int(sizes.max())))
         yield pd.DataFrame(out, columns=_NAMES)
@@ -220,30 +228,33 @@ _MATRIX = "group bigint, nodes binary, copies binary, sizes binary, union binary
 _NAMES = [c.split()[0] for c in _MATRIX.split(", ")]
 
 
-def _members_may_link(sizes_a: bytes, sketches_a: bytes, sizes_b: bytes, sketches_b: bytes, t: Fraction) -> bool:
-    """Whether the sketches let any member of one group link with any of the other."""
-    n, m = np.frombuffer(sizes_a, dtype=np.int64), np.frombuffer(sizes_b, dtype=np.int64)
-    a, b = _rows_of([sketches_a]), _rows_of([sketches_b])
-    if len(n) > len(m):
-        n, m, a, b = m, n, b, a
-    for i in range(len(n)):
-        close = (np.minimum(m, n[i]) * t.denominator >= np.maximum(m, n[i]) * t.numerator).nonzero()[0]
-        need = -(-(m[close] + n[i]) * t.numerator // (t.numerator + t.denominator))
-        if len(close) and may_link(np.broadcast_to(a[i], (len(close), CLASSES)), b[close], need).any():
+class _Sketched:
+    """The sizes and sketches of a group."""
+
+    def __init__(self, sizes: bytes, sketch: bytes, sketches: bytes):
+        self.sizes = np.frombuffer(sizes, dtype=np.int64)
+        self.union, self.members = _rows_of([sketch], len(sketch)), _rows_of([sketches], len(sketch))
+
+
+def _any_may_link(a: _Sketched, b: _Sketched, t: Fraction) -> bool:
+    """Whether sketches let any member of one group link with any of the other; by the unions' first."""
+    if not may_link(a.union, b.union, _need(max(a.sizes.min(), b.sizes.min()), t))[0]:
+        return False
+    if len(a.sizes) > len(b.sizes):
+        a, b = b, a
+    for n, own in zip(a.sizes.tolist(), a.members, strict=True):
+        close = np.flatnonzero(np.minimum(b.sizes, n) * t.denominator >= np.maximum(b.sizes, n) * t.numerator)
+        need = -(-(b.sizes[close] + n) * t.numerator // (t.numerator + t.denominator))
+        if len(close) and may_link(np.broadcast_to(own, (len(close), len(own))), b.members[close], need).any():
             return True
     return False
 
 
 def _groups_may_link(t: Fraction):
     @F.pandas_udf("boolean")
-    def check(sketch_a: pd.Series, least_a: pd.Series, sizes_a: pd.Series, sketches_a: pd.Series, sketch_b: pd.Series, least_b: pd.Series, sizes_b: pd.Series, sketches_b: pd.Series) -> pd.Series:
-        if not len(sketch_a):
-            return pd.Series([], dtype=bool)
-        need = _need(np.maximum(least_a.to_numpy(dtype=np.int64), least_b.to_numpy(dtype=np.int64)), t)
-        out = may_link(_rows_of(sketch_a), _rows_of(sketch_b), need)
-        for i in np.flatnonzero(out).tolist():
-            out[i] = _members_may_link(sizes_a[i], sketches_a[i], sizes_b[i], sketches_b[i], t)
-        return pd.Series(out)
+    def check(sizes_a: pd.Series, sketch_a: pd.Series, sketches_a: pd.Series, sizes_b: pd.Series, sketch_b: pd.Series, sketches_b: pd.Series) -> pd.Series:
+        rows = zip(sizes_a, sketch_a, sketches_a, sizes_b, sketch_b, sketches_b, strict=True)
+        return pd.Series([_any_may_link(_Sketched(*r[:3]), _Sketched(*r[3:]), t) for r in rows], dtype=bool)
 
     return check
 
@@ -373,7 +384,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
     other = lambda df: df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns])
     bounded = meet.join(slim, "group").join(other(slim), "group_b")
     sizes = (F.col("least") * t.numerator <= F.col("most_b") * t.denominator) & (F.col("least_b") * t.numerator <= F.col("most") * t.denominator)
-    looked = [f"{c}{side}" for side in ("", "_b") for c in ("sketch", "least", "sizes", "sketches")]
+    looked = [f"{c}{side}" for side in ("", "_b") for c in ("sizes", "sketch", "sketches")]
     bounded = bounded.where(sizes).withColumn("open", _groups_may_link(t).asNondeterministic()(*looked)).where("open")
     heavy = (F.col("weight") > F.col("weight_b")) | ((F.col("weight") == F.col("weight_b")) & (F.col("group") < F.col("group_b")))
     bounded = bounded.select(F.when(heavy, F.col("group")).otherwise(F.col("group_b")).alias("large"), F.when(heavy, F.col("group_b")).otherwise(F.col("group")).alias("small"))
