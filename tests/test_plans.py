@@ -76,27 +76,27 @@ def test_final_metadata():
 @pytest.fixture()
 def survey(tmp_path, spark):
     (tmp_path / "samples.csv").write_text("sample_id,date,lat,lon\n1,2008-05-01,53.1,5.0\n2,2024-06-01,53.4,5.5\n")
-    (tmp_path / "biota.csv").write_text("sample_id,species,abundance\n1,a,3\n1,b,4\n2,a,5\n")
-    return create_context(spark, str(tmp_path), "wadden_survey")
+    (tmp_path / "catches.csv").write_text("sample_id,species,abundance\n1,a,3\n1,b,4\n2,a,5\n")
+    return create_context(spark, str(tmp_path), "shore_survey")
 
 
 def test_default_plan(survey):
     result = execute_plan(survey)
     assert result.success, result.error
     record = result.final_metadata
-    assert record["title"] == "Wadden Survey" and record["format"] == "CSV"
+    assert record["title"] == "Shore Survey" and record["format"] == "CSV"
     assert record["temporal_coverage"] == "2008-05-01 to 2024-06-01" and record["methods"] is None
     assert record["spatial_coverage"] == {"min_lat": 53.1, "min_lon": 5.0, "max_lat": 53.4, "max_lon": 5.5}
-    assert "biota.sample_id -> samples.sample_id (many-to-one)" in record["description"]
+    assert "catches.sample_id -> samples.sample_id (many-to-one)" in record["description"]
     assert [r[0] for r in result.log_rows()] == list(range(1, len(result.steps) + 1))
     assert result_details(result)["metadata"]["format"] == "CSV"
 
 
 def test_a_failing_step_does_not_stop_the_rest(survey):
-    plan = Plan([Task("bad", outputs=["x"], operators=["item_count"], target_resources=["nope"]), Task("good", outputs=["y"], operators=["item_count"], target_resources=["biota"])])
+    plan = Plan([Task("bad", outputs=["x"], operators=["item_count"], target_resources=["nope"]), Task("good", outputs=["y"], operators=["item_count"], target_resources=["catches"])])
     result = execute_plan(survey, plan)
     assert not result.success and [s.success for s in result.steps] == [False, True]
-    assert as_dict(result.workspace["biota:y"]["item_count"]) == [{"item_count": 3}]
+    assert as_dict(result.workspace["catches:y"]["item_count"]) == [{"item_count": 3}]
     with pytest.raises(PlanError):
         execute_plan(survey, [step("a", {"p": "ghost"})])
 
@@ -126,7 +126,7 @@ def test_orchestrator(spark, survey):
 
 
 def test_operators_by_name(survey):
-    assert run("list_resources", survey) == ["biota", "samples"]
+    assert run("list_resources", survey) == ["catches", "samples"]
     assert run("context_overview", survey)["relationship_count"] == 1
     assert run("resource_info", survey, resource="samples")["item_count"] == 2
     assert run("spatial_extent", survey, resource="samples", lat_column="lat", lon_column="lon").first().valid_point_count == 2
