@@ -79,7 +79,7 @@ for _t in NUMERIC:
 
 query(
     "population_statistics_lineitem",
-    union([f"SELECT '{c}' AS field, count({c}) AS count, round(avg({c}::DOUBLE), 4) + 0.0 AS mean, round(stddev_pop({c}::DOUBLE), 4) + 0.0 AS std, min({c}::DOUBLE) + 0.0 AS min, max({c}::DOUBLE) + 0.0 AS max FROM lineitem" for c in NUMERIC["lineitem"]]),
+    union([f"SELECT '{c}' AS field, count({c}) AS count, round_even(avg({c}::DOUBLE), 4) + 0.0 AS mean, round_even(stddev_pop({c}::DOUBLE), 4) + 0.0 AS std, min({c}::DOUBLE) + 0.0 AS min, max({c}::DOUBLE) + 0.0 AS max FROM lineitem" for c in NUMERIC["lineitem"]]),
 )(lambda spark, d: rounded(profile.population_statistics(table(spark, d, "lineitem")), "mean", "std"))
 
 query(
@@ -108,16 +108,17 @@ for _t in CATEGORICAL:
 
 @query(
     "field_statistics_customer",
-    "SELECT field, count, mean, std, min, p25, p50, p75, max, NULL::BIGINT AS \"unique\", NULL::VARCHAR AS top, NULL::BIGINT AS freq FROM ("
+    "SELECT field, count, mean, std, min, p25, p50, p75, max, NULL::VARCHAR AS \"unique\", NULL::VARCHAR AS top, NULL::VARCHAR AS freq FROM ("
     + union([
         f"SELECT '{c}' AS field, count({c}) AS count, round(avg({c}::DOUBLE), 4) + 0.0 AS mean, round(stddev_samp({c}::DOUBLE), 4) + 0.0 AS std, round(min({c}::DOUBLE), 4) + 0.0 AS min, round(quantile_cont({c}::DOUBLE, 0.25), 4) + 0.0 AS p25, "
         f"round(quantile_cont({c}::DOUBLE, 0.5), 4) + 0.0 AS p50, round(quantile_cont({c}::DOUBLE, 0.75), 4) + 0.0 AS p75, round(max({c}::DOUBLE), 4) + 0.0 AS max FROM customer"
         for c in ("c_custkey", "c_nationkey", "c_acctbal")
     ])
-    + ") UNION ALL SELECT field, count, NULL, NULL, NULL, NULL, NULL, NULL, NULL, \"unique\", top, freq FROM (" + _categorical_sql("customer") + ")",
+    + ") UNION ALL SELECT field, count, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CAST(\"unique\" AS VARCHAR), top, CAST(freq AS VARCHAR) FROM (" + _categorical_sql("customer") + ")",
 )
 def field_statistics_customer(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(run_operator("field_statistics", context(spark, d, ("customer",))), "mean", "std", "min", "p25", "p50", "p75", "max")
+    out = rounded(run_operator("field_statistics", context(spark, d, ("customer",))), "mean", "std", "min", "p25", "p50", "p75", "max")
+    return out.withColumns({c: F.col(c).cast("string") for c in ("unique", "freq")})
 
 
 query("row_counts", union([f"SELECT '{t}' AS resource, count(*) AS item_count FROM {t}" for t in TABLES]))(lambda spark, d: schema.row_counts(tables(spark, d)))
@@ -200,8 +201,8 @@ for _how, _sql in _JOINS.items():
     query(f"join_count_{_how}_orders_customer", f"SELECT count(*) AS row_count FROM orders {_sql} customer ON o_custkey IS NOT DISTINCT FROM c_custkey")(
         lambda spark, d, how=_how: relate.join_count(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer"), "c_custkey", how).select(F.col("row_count").cast("long").alias("row_count"))
     )
-    query(f"join_tables_{_how}_documents_labels", f"SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, source, n_chars, quality, toxic FROM documents d {_sql} labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id")(
-        lambda spark, d, how=_how: relate.join_tables(table(spark, d, "documents"), "doc_id", table(spark, d, "labels"), "doc_id", how).drop("text")
+    query(f"join_tables_{_how}_documents_labels", f"SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, source, n_chars, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic FROM documents d {_sql} labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id")(
+        lambda spark, d, how=_how: relate.join_tables(table(spark, d, "documents"), "doc_id", table(spark, d, "labels"), "doc_id", how).drop("text").withColumns({c: F.col(c).cast("string") for c in ("quality", "toxic")})
     )
 query("join_preview_orders_customer", "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 5")(
     lambda spark, d: relate.join_preview(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer"), "c_custkey", "inner", 5, None).select("o_orderkey", "o_custkey", "c_custkey", "c_name")
