@@ -6,11 +6,12 @@ from the order below, whose continuation counts both classes share.  So an
 expression that neither class has seen often costs both the same, and only what
 a class really prefers moves the balance.
 
-For every word the length-normalised log-likelihoods of the two models are
-compared.  A text's evidence is that difference over the whole text, the largest
-difference of any one word, and the share of words with a large one; a logistic
-curve fitted on labelled rows that the counts have not seen turns it into a
-score.  Word counts are gathered from all labelled training rows, so they grow
+For every word the log-likelihoods of the two models are compared.  A text's
+evidence is that difference per character of the whole text, the largest
+difference of any one word, and the shares of words whose whole difference lies
+above each of several steps, so that a toxic stem counts however long its word
+is.  A logistic curve fitted on labelled rows that the counts have not seen
+weighs the steps and turns the evidence into a score.  Word counts are gathered from all labelled training rows, so they grow
 with the input.  The model that is broadcast keeps the ``max_grams`` most
 frequent n-grams and is bounded by that.
 
@@ -41,7 +42,9 @@ DISCOUNT = 0.75
 CALIBRATION_ROWS = 20_000
 BROADCAST_LABELS = 1_000_000
 _PAD, _END = "\x02", "\x03"
-_LARGE = 1.0
+#: Differences of a word, in nats, above which shares of words are taken; the curve sets their weights.
+_STEPS = np.arange(1.0, 7.0)
+_EVIDENCE = 2 + len(_STEPS)
 
 
 def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
@@ -65,7 +68,7 @@ class Model:
         by, at = np.argsort(grams), np.argsort(contexts)
         self.grams, self.ratio = grams[by], ratio[by].astype(np.float32)
         self.contexts, self.context_ratio = contexts[at], context_ratio[at].astype(np.float32)
-        self.order, self.curve = order, np.array([-20.0, 0.0, 0.0, 0.0])
+        self.order, self.curve = order, np.array([-20.0] + [0.0] * _EVIDENCE)
 
     @classmethod
     def of(cls, rows: pd.DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> Model:
@@ -97,18 +100,16 @@ class Model:
         return np.add.reduceat(np.where(valid, value, 0.0), begin), (size - n + 1).astype(np.float64)
 
     def evidence(self, texts) -> np.ndarray:
-        """By text: the difference per character, the largest of a word, and the share of words with a large one."""
-        return np.concatenate([np.empty((0, 3)), *[self._evidence(texts[p]) for p in T.portions(texts)]])
+        """By text: the difference per character, the largest of a word, and the share of words above each step."""
+        return np.concatenate([np.empty((0, _EVIDENCE)), *[self._evidence(texts[p]) for p in T.portions(texts)]])
 
     def _evidence(self, texts) -> np.ndarray:
         words = T.Words(texts)
         total, length = self.word_ratios(words)
-        mean = total / np.maximum(length, 1)
-        counts = words.counts
-        over_all = T.sums_by_text(total[words.which], counts) / np.maximum(T.sums_by_text(length[words.which], counts), 1)
-        largest = T.maxima_by_text(mean[words.which], counts)
-        many = T.sums_by_text((mean[words.which] > _LARGE).astype(np.float64), counts) / np.maximum(counts, 1)
-        return np.column_stack((over_all, largest, np.sqrt(many)))
+        total, length, counts = total[words.which], length[words.which], words.counts
+        over_all = T.sums_by_text(total, counts) / np.maximum(T.sums_by_text(length, counts), 1)
+        above = T.sums_by_text((total[:, None] > _STEPS).astype(np.float64), counts) / np.maximum(counts, 1)[:, None]
+        return np.column_stack((over_all, T.maxima_by_text(total, counts), above))
 
     def score(self, texts) -> np.ndarray:
         z = self.curve[0] + self.evidence(texts) @ self.curve[1:]
@@ -172,14 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             e = shared.value.evidence(batch["text"])
-            yield pd.DataFrame({"y": batch["toxic"].astype("float64"), "a": e[:, 0], "b": e[:, 1], "c": e[:, 2]})
+            yield pd.DataFrame({"y": batch["toxic"].astype("float64"), **{f"e{i}": e[:, i] for i in range(_EVIDENCE)}})
 
-    seen = fetched(rows.where(part < below).mapInPandas(evidence, "y double, a double, b double, c double"))
+    names = [f"e{i}" for i in range(_EVIDENCE)]
+    seen = fetched(rows.where(part < below).mapInPandas(evidence, ", ".join(f"{c} double" for c in ("y", *names))))
     if len(top) and seen["y"].nunique() > 1:
-        model.curve = _logistic(seen[["a", "b", "c"]].to_numpy(), seen["y"].to_numpy())
+        model.curve = _logistic(seen[names].to_numpy(), seen["y"].to_numpy())
     else:
         share = float(seen["y"].mean()) if len(seen) else 0.0
-        model.curve = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0, 0.0])
+        model.curve = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9))] + [0.0] * _EVIDENCE)
     return model
 
 

@@ -108,6 +108,16 @@ def test_kneser_ney_by_hand():
     assert toxicity._shared(grams, d).tolist() == pytest.approx([want["bc"], want["bc"], want["bd"]])
 
 
+def test_toxic_stems_in_long_words(spark):
+    """A toxic stem at the head of a long word of ordinary letters is seen, though its difference per character is small."""
+    counts = [("achlichbadokiluba", 30, 1), ("achten", 1, 30), ("badokiluba", 20, 20)]
+    grams = toxicity.gram_counts(spark.createDataFrame(counts, "word string, toxic long, ordinary long")).toPandas()
+    model = toxicity.Model.of(grams.sort_values("gram"))
+    stem, plain = model.evidence(["badokiluba achlichbadokiluba", "badokiluba achten"])
+    assert 0 < stem[0] < 1 and stem[1] > 2 and plain[1] < 1
+    assert stem[2:].max() == 0.5 and plain[2:].max() == 0
+
+
 def test_word_and_gram_counts(spark):
     rows = spark.createDataFrame([("Ab ab! c", 1), ("ab", 0)], "text string, toxic int")
     counted = {r.word: (r.toxic, r.ordinary) for r in toxicity.word_counts(rows).collect()}
