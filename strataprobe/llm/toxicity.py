@@ -12,8 +12,11 @@ difference of any one word, and the shares of words whose whole difference lies
 above each of several steps, so that a toxic stem counts however long its word
 is.  A logistic curve fitted on labelled rows that the counts have not seen
 weighs the steps and turns the evidence into a score.  Word counts are gathered from all labelled training rows, so they grow
-with the input.  The model that is broadcast keeps the ``max_grams`` most
-frequent n-grams and is bounded by that.
+with the input, and so does the table of n-grams: all of them enter the model.
+Up to ``max_grams`` n-grams are broadcast.  Beyond that the model is a written
+table; the ``max_grams`` most frequent n-grams are broadcast as a cache, and the
+words that hold any other n-gram are looked up in the table by a join.  Both ways
+give the same evidence.
 
 Defined results: null and empty texts have no evidence and get the score of that
 evidence; rows without a label are not learnt from; repeated labels count once a
@@ -61,14 +64,61 @@ def word_counts(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(F.lit(1) - F.col("toxic")).alias("ordinary"))
 
 
+def _continuations(keys: DataFrame, size: int, discount: float, scratch: Scratch) -> DataFrame:
+    """``_shared`` as a plan: distinct keys(key) of so many characters with p of their last."""
+    lower = scratch.keep(keys.groupBy(F.col("key").substr(2, size - 1).alias("low")).agg(F.count("*").cast("double").alias("n")), "lower")
+    if size == 2:
+        whole = lower.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        found = lower.crossJoin(whole).select("low", ((F.col("n") + 0.5) / (F.col("total") + 0.5 * (F.col("kinds") + 1))).alias("p"))
+    else:
+        lower = lower.withColumn("context", F.col("low").substr(1, size - 2))
+        totals = lower.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        below = _continuations(lower.select(F.col("low").alias("key")), size - 1, discount, scratch).withColumnRenamed("key", "low")
+        p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + discount * F.col("kinds") / F.col("total") * F.col("p")
+        found = lower.join(totals, "context").join(below, "low").select("low", p.alias("p"))
+    return keys.withColumn("low", F.col("key").substr(2, size - 1)).join(found, "low").select("key", "p")
+
+
+def difference_tables(grams: DataFrame, scratch: Scratch, order: int = ORDER, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
+    """What ``Model.of`` computes, as written tables of any size: n-grams(gram, n, value) and contexts(context, value)."""
+    classes = ("toxic", "ordinary")
+    own = grams.withColumn("context", F.col("gram").substr(1, order - 1))
+    sums = own.groupBy("context").agg(*[F.sum(c).cast("double").alias(f"{c}_total") for c in classes], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_kinds") for c in classes])
+    left = {c: F.when(F.col(f"{c}_total") > 0, discount * F.col(f"{c}_kinds") / F.col(f"{c}_total")).otherwise(1.0) for c in classes}
+    sums = scratch.keep(sums.withColumns({f"{c}_left": left[c] for c in classes}), "contexts")
+    shared = _continuations(grams.select(F.col("gram").alias("key")), order, discount, scratch).withColumnRenamed("key", "gram")
+    logs = [F.log(F.greatest(F.col(c) - discount, F.lit(0.0)) / F.greatest(f"{c}_total", F.lit(1.0)) + F.col(f"{c}_left") * F.col("p")) for c in classes]
+    values = own.join(sums, "context").join(shared, "gram").select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), (logs[0] - logs[1]).alias("value"))
+    return scratch.keep(values, "values"), sums.select("context", (F.log("toxic_left") - F.log("ordinary_left")).alias("value"))
+
+
 class Model:
-    """Log-likelihood difference by n-gram, and by context for n-grams not kept."""
+    """Log-likelihood difference by n-gram, and by context for n-grams unseen after it.
+
+    tables: n-grams and contexts as DataFrames if those held here are only a
+    cache of them; then a word with an n-gram not held here is open.
+    """
+
+    tables: tuple[DataFrame, DataFrame] | None = None
 
     def __init__(self, grams: np.ndarray, ratio: np.ndarray, contexts: np.ndarray, context_ratio: np.ndarray, order: int):
         by, at = np.argsort(grams), np.argsort(contexts)
         self.grams, self.ratio = grams[by], ratio[by].astype(np.float32)
         self.contexts, self.context_ratio = contexts[at], context_ratio[at].astype(np.float32)
         self.order, self.curve = order, np.array([-20.0] + [0.0] * _EVIDENCE)
+        self.cache = False
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
+    @classmethod
+    def written(cls, tables: tuple[DataFrame, DataFrame], max_grams: int, order: int = ORDER) -> Model:
+        """With the most frequent n-grams at hand and all of them in tables."""
+        top = fetched(most_frequent(tables[0], "gram", max_grams).select("gram", "value")).sort_values("gram")
+        none = np.empty(0)
+        model = cls(T.string_gram_hash(top["gram"].tolist()), top["value"].to_numpy(), none.astype(T.U64), none, order)
+        model.tables, model.cache = tables, True
+        return model
 
     @classmethod
     def of(cls, rows: pd.DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> Model:
@@ -87,35 +137,106 @@ class Model:
             spare.append(np.log(left))
         return cls(T.string_gram_hash(list(grams)), logs[0] - logs[1], T.string_gram_hash(list(keys)), spare[0] - spare[1], order)
 
-    def word_ratios(self, words: T.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood difference of each distinct word, and its length with the end."""
+    def word_ratios(self, words: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihood difference of each distinct word, its length with the end, and whether it is open."""
         n = self.order
         if not len(words.distinct):
-            return np.empty(0), np.empty(0)
+            return np.empty(0), np.empty(0), np.empty(0, dtype=bool)
         codes, begin, size = words.padded(words.first, n - 1)
         at, known = T.find(self.grams, T.gram_hashes(codes, n))
         by, seen = T.find(self.contexts, T.gram_hashes(codes, n - 1))
         value = np.where(known, self.ratio[at] if len(self.ratio) else 0.0, np.where(seen, self.context_ratio[by] if len(self.contexts) else 0.0, 0.0))
         valid = np.arange(len(codes)) - np.repeat(begin, size) <= np.repeat(size - n, size)
-        return np.add.reduceat(np.where(valid, value, 0.0), begin), (size - n + 1).astype(np.float64)
+        missing = np.logical_or.reduceat(valid & ~known, begin) if self.cache else np.zeros(len(begin), dtype=bool)
+        return np.add.reduceat(np.where(valid, value, 0.0), begin), (size - n + 1).astype(np.float64), missing
 
     def evidence(self, texts) -> np.ndarray:
         """By text: the difference per character, the largest of a word, and the share of words above each step."""
-        return np.concatenate([np.empty((0, _EVIDENCE)), *[self._evidence(texts[p]) for p in T.portions(texts)]])
+        return _ratios(self.sums(texts)[0])
+
+    def sums(self, texts) -> tuple[np.ndarray, list[list[tuple[str, int]]]]:
+        """By text: what its words that are not open add up to (see ``_ratios``), and the open words with their numbers."""
+        parts = [self._sums(texts[p]) for p in T.portions(texts)]
+        return np.concatenate([np.empty((0, 2 + _EVIDENCE)), *[p for p, _ in parts]]), [w for _, o in parts for w in o]
 
-    def _evidence(self, texts) -> np.ndarray:
+    def _sums(self, texts) -> tuple[np.ndarray, list[list[tuple[str, int]]]]:
         words = T.Words(texts)
-        total, length = self.word_ratios(words)
-        total, length, counts = total[words.which], length[words.which], words.counts
-        over_all = T.sums_by_text(total, counts) / np.maximum(T.sums_by_text(length, counts), 1)
-        above = T.sums_by_text((total[:, None] > _STEPS).astype(np.float64), counts) / np.maximum(counts, 1)[:, None]
-        return np.column_stack((over_all, T.maxima_by_text(total, counts), above))
+        total, length, missing = self.word_ratios(words)
+        counts, rest = words.counts, [[] for _ in range(len(words.counts))]
+        total, length, off = total[words.which], length[words.which], missing[words.which]
+        if off.any():
+            at = np.flatnonzero(off)
+            holder = np.searchsorted(np.cumsum(counts), at, side="right")
+            pairs, times = np.unique(np.column_stack((holder, words.which[at])), axis=0, return_counts=True)
+            names = {}
+            for text, word, n in zip(*pairs.T.tolist(), times.tolist(), strict=True):
+                if word not in names:
+                    start = int(words.start[words.first[word]])
+                    names[word] = words.codes[start : start + int(words.length[words.first[word]])].tobytes().decode("utf-32-le", "surrogatepass")
+                rest[text].append((names[word], n))
+            total, length = np.where(off, 0.0, total), np.where(off, 0.0, length)
+        above = T.sums_by_text((total[:, None] > _STEPS).astype(np.float64), counts)
+        largest = T.maxima_by_text(np.where(off, -np.inf, total), counts)
+        return np.column_stack((counts, T.sums_by_text(total, counts), T.sums_by_text(length, counts), largest, above)), rest
 
     def score(self, texts) -> np.ndarray:
         z = self.curve[0] + self.evidence(texts) @ self.curve[1:]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _ratios(sums: np.ndarray) -> np.ndarray:
+    """Evidence from a text's number of words, sum of differences, sum of lengths, largest difference, and words above each step."""
+    return np.column_stack((sums[:, 1] / np.maximum(sums[:, 2], 1), sums[:, 3], sums[:, 4:] / np.maximum(sums[:, :1], 1)))
+
+
+_SUMS = [f"s{i}" for i in range(2 + _EVIDENCE)]
+
+
+def _evidence_by_text(texts: DataFrame, model: Model, shared, scratch: Scratch) -> DataFrame:
+    """texts(key, text) as (key, evidence), once for each key; open words are looked up in the model's tables."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own, rest = shared.value.sums(batch["text"])
+            yield pd.DataFrame({"key": batch["key"], **dict(zip(_SUMS, own.T, strict=True)), "rest": [[{"word": w, "n": n} for w, n in words] for words in rest]})
+
+    schema = "key string, " + ", ".join(f"{c} double" for c in _SUMS) + ", rest array<struct<word: string, n: bigint>>"
+    made = scratch.keep(texts.mapInPandas(sums, schema).dropDuplicates(["key"]), "sums")
+    rest = made.select("key", F.explode("rest").alias("r")).select("key", "r.word", "r.n")
+    values, contexts = model.tables
+    padded = F.concat(F.lit(_PAD * (model.order - 1)), F.col("word"), F.lit(_END))
+    spread = rest.select("word").distinct().select("word", padded.alias("p")).select("word", "p", F.explode(F.sequence(F.lit(1), F.length("p") - (model.order - 1))).alias("at"))
+    spread = spread.select("word", F.col("p").substr(F.col("at"), F.lit(model.order)).alias("gram")).withColumn("context", F.col("gram").substr(1, model.order - 1))
+    looked = spread.join(values.select("gram", "value"), "gram", "left").join(contexts.withColumnRenamed("value", "spare"), "context", "left")
+    looked = looked.groupBy("word").agg(F.sum(F.coalesce("value", "spare", F.lit(0.0))).alias("total"), F.count("*").alias("length"))
+    n, total = F.col("n"), F.col("total")
+    adds = [F.sum(n * total).alias("a1"), F.sum(n * F.col("length")).alias("a2"), F.max("total").alias("a3")]
+    adds += [F.sum(F.when(total > float(step), n).otherwise(0)).alias(f"a{4 + i}") for i, step in enumerate(_STEPS)]
+    added = rest.join(looked, "word").groupBy("key").agg(*adds)
+    both = made.drop("rest").join(added, "key", "left")
+    s = [F.col("s0")] + [F.greatest("s3", "a3") if i == 3 else F.col(f"s{i}") + F.coalesce(f"a{i}", F.lit(0)) for i in range(1, len(_SUMS))]
+    evidence = [s[1] / F.greatest(s[2], F.lit(1.0)), s[3], *[x / F.greatest(s[0], F.lit(1.0)) for x in s[4:]]]
+    return scratch.keep(both.select("key", F.array(*evidence).alias("evidence")), "evidence")
+
+
+def with_evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with _evidence."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    if model.tables is not None:
+        key = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+        found = _evidence_by_text(docs.select(key.alias("key"), F.col(text_col).alias("text")), model, shared, Scratch(spark))
+        found = found.select(F.col("key").alias("_key"), F.col("evidence").alias("_evidence"))
+        return docs.withColumn("_key", key).join(found, "_key", "left").drop("_key")
+
+    @F.pandas_udf("array<double>")
+    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(list(shared.value.evidence(batch)))
+
+    return docs.withColumn("_evidence", evidence(F.col(text_col)))
+
+
 def _shared(grams: np.ndarray, discount: float) -> np.ndarray:
     """Interpolated probability of each n-gram's last character from the shared lower orders."""
     if not len(grams):
@@ -157,28 +278,27 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Counts from four fifths of the labelled rows given; the curve from a bounded sample of the other fifth."""
+    """Counts from four fifths of the labelled rows given; the curve from a bounded sample of the other fifth.
+
+    max_grams bounds what is broadcast, not the model: beyond it the rest is looked up in written tables.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     rows = labelled_rows(docs, labels, id_col, text_col, label_col)
     part = F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(1_000_000))
     grams = gram_counts(word_counts(rows.where(part >= 200_000))).withColumn("n", F.col("toxic") + F.col("ordinary"))
-    grams = Scratch(spark).keep(grams, "grams")
-    top = fetched(most_frequent(grams, "gram", max_grams).drop("n")).sort_values("gram")
-    model = Model.of(top)
+    scratch = Scratch(spark)
+    grams = scratch.keep(grams, "grams")
+    known = grams.count()
+    if known <= max_grams:
+        model = Model.of(fetched(grams.drop("n")).sort_values("gram"))
+    else:
+        model = Model.written(difference_tables(grams, scratch), max_grams)
     held = labels.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("curve")), F.lit(1_000_000)) < 200_000).count()
     below = 200_000 if held <= calibration_rows else int(200_000 * calibration_rows / held)
-    shared = spark.sparkContext.broadcast(model)
-
-    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            e = shared.value.evidence(batch["text"])
-            yield pd.DataFrame({"y": batch["toxic"].astype("float64"), **{f"e{i}": e[:, i] for i in range(_EVIDENCE)}})
-
-    names = [f"e{i}" for i in range(_EVIDENCE)]
-    seen = fetched(rows.where(part < below).mapInPandas(evidence, ", ".join(f"{c} double" for c in ("y", *names))))
-    if len(top) and seen["y"].nunique() > 1:
-        model.curve = _logistic(seen[names].to_numpy(), seen["y"].to_numpy())
+    seen = fetched(with_evidence(rows.where(part < below), model).select(F.col("toxic").cast("double").alias("y"), "_evidence"))
+    if known and seen["y"].nunique() > 1:
+        model.curve = _logistic(np.array(seen["_evidence"].tolist()), seen["y"].to_numpy())
     else:
         share = float(seen["y"].mean()) if len(seen) else 0.0
         model.curve = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9))] + [0.0] * _EVIDENCE)
@@ -187,16 +307,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with score and predicted."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(shared.value.score(batch))
-
-    return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    bound_batches(docs.sparkSession)
+    z = F.lit(float(model.curve[0]))
+    for i, slope in enumerate(model.curve[1:]):
+        z = z + F.col("_evidence")[i] * float(slope)
+    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
+    return with_evidence(docs, model, text_col).withColumn("score", score).drop("_evidence").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 __all__ = ["Model", "fit", "held_out", "score_toxicity"]

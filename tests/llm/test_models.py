@@ -108,6 +108,18 @@ def test_kneser_ney_by_hand():
     assert toxicity._shared(grams, d).tolist() == pytest.approx([want["bc"], want["bc"], want["bd"]])
 
 
+def test_toxicity_table_grows(spark, documents, corpus):
+    """A broadcast of few n-grams changes no score: the others are looked up."""
+    docs = documents(*[(i, t, lang) for i, t, lang, *_ in corpus], *ODD)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, _, _, y in corpus], "doc_id long, quality int, toxic int")
+    whole, cached = [toxicity.fit(docs, labels.where(~toxicity.held_out("doc_id", 5, 0)), max_grams=n) for n in (10**6, 40)]
+    assert whole.tables is None and len(cached.grams) < 60 < cached.tables[0].count()
+    assert cached.curve == pytest.approx(whole.curve, rel=1e-3, abs=1e-3)
+    cached.curve = whole.curve
+    want, got = [sorted((str(r.doc_id), str(r.text)[:50], r.predicted, round(r.score, 4)) for r in toxicity.score_toxicity(docs, m).collect()) for m in (whole, cached)]
+    assert got == want and len(got) == len(corpus) + len(ODD)
+
+
 def test_toxic_stems_in_long_words(spark):
     """A toxic stem at the head of a long word of ordinary letters is seen, though its difference per character is small."""
     counts = [("achlichbadokiluba", 30, 1), ("achten", 1, 30), ("badokiluba", 20, 20)]
