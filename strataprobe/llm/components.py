@@ -37,12 +37,13 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": nodes, "label": nodes[label]})
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges(a, b) as (node, label): the least node that each node is connected with.
 
-    Each round takes the least label around every node and then the label's own
-    label, so distances halve; labels only fall, and the loop ends when none
-    does.  Every round is a written table: no lineage builds up and nothing but
+    Each round takes the least label around every node, gives it to the node of
+    the former label as well, and then takes the label's own label, so rounds grow
+    with the logarithm of a chain's length; labels only fall, and the loop ends
+    when none does.  Every round is a written table: no lineage builds up and nothing but
     a count of changes reaches the driver.  Edges are few next to documents; up
     to ONE_TASK of them, which edges must be a written table to count cheaply,
     are settled in one task instead.
@@ -53,17 +54,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     both = edges.where("a != b").select("a", "b").union(edges.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = scratch.keep(both, "edges")
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         around = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         least = scratch.keep(labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "least")
-        above = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = scratch.keep(least.join(above, "label").select("node", "old", F.col("next").alias("label")), "jumped")
+        hooks = least.groupBy(F.col("old").alias("node")).agg(F.min("label").alias("hook"))
+        hooked = scratch.keep(least.join(hooks, "node", "left").select("node", "old", F.least("label", "hook").alias("label")), "hooked")
+        above = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumped = scratch.keep(hooked.join(above, "label").select("node", "old", F.col("next").alias("label")), "jumped")
         scratch.drop(labels)
         scratch.drop(least)
+        scratch.drop(hooked)
         labels = jumped
         if jumped.where(F.col("label") != F.col("old")).isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     scratch.drop(both)
     return labels.select("node", "label")

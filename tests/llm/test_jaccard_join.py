@@ -135,3 +135,22 @@ def test_components(spark, monkeypatch, most, seed):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert {x: found[x] for x in linked} == {x: top(x) for x in linked}
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+def test_long_chain_by_distributed_rounds(spark, monkeypatch):
+    """A chain of thousands of nodes of random ids settles in few rounds."""
+    from strataprobe.llm import components
+    from strataprobe.llm.scratch import Scratch
+
+    class Counted(Scratch):
+        def keep(self, df, name="table"):
+            kept.append(name)
+            return super().keep(df, name)
+
+    kept = []
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    ids = random.Random(4).sample(range(10**12), 3000)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+    found = components.connected_components(edges, Counted(spark)).collect()
+    assert {r.node for r in found} == set(ids) and {r.label for r in found} == {min(ids)}
+    assert kept.count("jumped") <= 20
