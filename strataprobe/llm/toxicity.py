@@ -11,8 +11,8 @@ evidence is that difference per character of the whole text, the largest
 difference of any one word, and the shares of words whose whole difference lies
 above each of several steps, so that a toxic stem counts however long its word
 is.  A logistic curve fitted on labelled rows that the counts have not seen
-weighs the steps and turns the evidence into a score.  Word counts are gathered from all labelled training rows, so they grow
-with the input, and so does the table of n-grams: all of them enter the model.
+weighs the steps and turns the evidence into a score.  Word counts are gathered from all labelled training rows but those the
+curve is fitted on (a fifth, at most about 20,000), so they grow with the input, and so does the table of n-grams: all of them enter the model.
 Up to ``max_grams`` n-grams are broadcast.  Beyond that the model is a written
 table; the ``max_grams`` most frequent n-grams are broadcast as a cache, and the
 words that hold any other n-gram are looked up in the table by a join.  Both ways
@@ -278,7 +278,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Counts from four fifths of the labelled rows given; the curve from a bounded sample of the other fifth.
+    """The curve from a fifth of the labelled rows given, at most about calibration_rows; counts from all others.
 
     max_grams bounds what is broadcast, not the model: beyond it the rest is looked up in written tables.
     """
@@ -286,7 +286,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bound_batches(spark)
     rows = labelled_rows(docs, labels, id_col, text_col, label_col)
     part = F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(1_000_000))
-    grams = gram_counts(word_counts(rows.where(part >= 200_000))).withColumn("n", F.col("toxic") + F.col("ordinary"))
+    below = min(200_000, int(1_000_000 * calibration_rows / max(labels.count(), 1)))
+    grams = gram_counts(word_counts(rows.where(part >= below))).withColumn("n", F.col("toxic") + F.col("ordinary"))
     scratch = Scratch(spark)
     grams = scratch.keep(grams, "grams")
     known = grams.count()
@@ -294,8 +295,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model = Model.of(fetched(grams.drop("n")).sort_values("gram"))
     else:
         model = Model.written(difference_tables(grams, scratch), max_grams)
-    held = labels.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("curve")), F.lit(1_000_000)) < 200_000).count()
-    below = 200_000 if held <= calibration_rows else int(200_000 * calibration_rows / held)
     seen = fetched(with_evidence(rows.where(part < below), model).select(F.col("toxic").cast("double").alias("y"), "_evidence"))
     if known and seen["y"].nunique() > 1:
         model.curve = _logistic(np.array(seen["_evidence"].tolist()), seen["y"].to_numpy())

@@ -120,6 +120,14 @@ def test_toxicity_table_grows(spark, documents, corpus):
     assert got == want and len(got) == len(corpus) + len(ODD)
 
 
+def test_counts_leave_out_only_the_curves_rows(spark, documents):
+    """Each text has its own word; few are held back when the curve takes few rows."""
+    own = ["".join(chr(97 + i // 26**p % 26) for p in range(3)) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(documents(*[(i, f"zz{w}") for i, w in enumerate(own)]), labels, calibration_rows=10)
+    assert 370 < T.find(model.grams, T.string_gram_hash([f"zz{w}" for w in own]))[1].sum() < 400
+
+
 def test_toxic_stems_in_long_words(spark):
     """A toxic stem at the head of a long word of ordinary letters is seen, though its difference per character is small."""
     counts = [("achlichbadokiluba", 30, 1), ("achten", 1, 30), ("badokiluba", 20, 20)]
