@@ -33,7 +33,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def bound_batches(spark: SparkSession, rows: int = ROWS, size: int = BYTES) -> None:
-    """Ship the package; cap the rows and bytes of a batch for this session, so that long texts fit in a worker's memory."""
+    """Ship the package; cap the rows and bytes of a batch for this session, so that long texts fit in a worker's memory.
+
+    The caps stay set: results are read lazily, after the operator has returned,
+    and must be read under them.  Lower caps that the session has are left.
+    """
     ship_package(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = spark.conf.get(key, None)

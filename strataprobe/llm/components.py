@@ -38,7 +38,7 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """edges(a, b) as (node, label): the least node that each node is connected with.
+    """edges(a, b) as a written table (node, label): the least node that each node is connected with.
 
     Each round takes the least label around every node, gives it to the node of
     the former label as well, and then takes the label's own label, so rounds grow
@@ -68,4 +68,6 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if jumped.where(F.col("label") != F.col("old")).isEmpty():
             break
     scratch.drop(both)
-    return labels.select("node", "label")
+    out = labels.select("node", "label")
+    out._scratch_path = labels._scratch_path
+    return out

@@ -7,7 +7,8 @@ holds the threshold share of an item has a Jaccard similarity of at least
 ``threshold * U/2 / (2U + (1 - threshold) * U/2)`` with it, whatever the text's
 length.  The number of one-row bands follows from that similarity and the
 probability with which a match may be missed (``miss``).  Every candidate is
-verified against the whole text: shared distinct shingles / item's shingles.
+verified against the whole text: shared distinct shingles / item's shingles,
+exactly but for the 64-bit hashes by which shingles are compared.
 
 A window's minimum can equal an item's only if the text holds the item's very
 shingle, so texts and windows that hold no such shingle are passed over first;

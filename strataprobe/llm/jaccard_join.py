@@ -33,7 +33,8 @@ Defined results: null and empty texts, or texts without words, have no shingles
 and link with nothing; texts with fewer words than a shingle have their whole
 sequence as one; null ids are members of classes but never name one that has
 another id; repeated ids are separate rows; an empty table gives an empty table;
-clashing columns are replaced.
+jaccard_classes reads only the id and text columns, and keep_one_per_class
+changes no column, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -47,9 +48,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import col
 from . import textcore as T
 from .batches import bound_batches, fetched, most_frequent, rows_per_batch
 from .components import connected_components
+from .rows import packed, spread_join, unpacked
 from .scratch import Scratch
 
 #: Tokens of a chunk of a group, and members at most.
@@ -63,6 +66,8 @@ _CHUNK_TOKENS = 1 << 21
 BUNDLE = 32
 #: Groups, of a few megabytes at most, that a worker holds at a time.
 GROUPS_PER_BATCH = 8
+#: Groups of one token that meet in one task.
+MEET = 256
 #: Classes of a sketch; a count at the limit of a byte bounds nothing.
 CLASSES, _FULL = 64, 255
 #: Holders of a token up to which each is held against the others by sketch; nodes of larger lists all go on.
@@ -102,7 +107,7 @@ def common_tokens(docs: DataFrame, text_col: str, k: int, scratch: Scratch, leas
         if size:
             yield flush()
 
-    partial = docs.select(F.col(text_col).alias("text")).mapInPandas(counts, "token bigint, n bigint")
+    partial = docs.select(col(text_col).alias("text")).mapInPandas(counts, "token bigint, n bigint")
     many = scratch.keep(partial.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "common")
     return np.sort(fetched(most_frequent(many, "token", most).select("token"))["token"].to_numpy(dtype=np.int64).view(T.U64))
 
@@ -133,7 +138,7 @@ def _need(n, t: Fraction):
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, t: Fraction, common: np.ndarray) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(common)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,7 +153,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, t: Fraction,
                 tokens.append(s.tobytes() if null else None)
             yield pd.DataFrame({"id": batch["id"], "n": n, "digest": [_digest(s) for s in sets], "sketch": [sketch(s).tobytes() for s in sets], "prefix": prefixes, "tokens": tokens})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(make, f"id {kind}, n bigint, digest binary, sketch binary, prefix array<bigint>, tokens binary")
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInPandas(make, f"id {kind}, n bigint, digest binary, sketch binary, prefix array<bigint>, tokens binary")
 
 
 def _rows_of(column, classes: int = CLASSES) -> np.ndarray:
@@ -204,7 +209,7 @@ def _member_tokens(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
     by_id = members.where("rep IS NOT NULL").drop("tokens")
     if by_id.count() <= BROADCAST_ROWS:
         by_id = F.broadcast(by_id)
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("rep IS NOT NULL")
+    texts = docs.select(col(id_col).alias("rep"), col(text_col).alias("text")).where("rep IS NOT NULL")
     found = texts.join(by_id, "rep").select("group", "node", "copies", "digest", "text").mapInPandas(make, "group bigint, node bigint, copies bigint, tokens binary")
     return found.unionByName(members.where("rep IS NULL").select("group", "node", "copies", "tokens"))
 
@@ -343,6 +348,22 @@ def _compare(t: Fraction):
     return run
 
 
+def _meetings(cells: DataFrame, block: int = MEET) -> DataFrame:
+    """(group, group_b) of the groups that share a token, group being the lesser.
+
+    The groups of a token are dealt into blocks, and every pair of blocks is a
+    join key of its own, so that a token of very many groups is spread over tasks.
+    """
+    holders = cells.groupBy("token").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1").withColumnRenamed("token", "hot")
+    dealt = cells.join(holders, F.col("token") == F.col("hot"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.select("token", "group", F.pmod(F.xxhash64("group"), F.col("blocks")).cast("int").alias("own"), "blocks")
+    left = dealt.select("token", "group", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"))
+    right = dealt.select("token", F.col("group").alias("group_b"), F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"))
+    # of two groups of one block each comes from either side, of two blocks the lesser block's from the left
+    met = left.join(right, ["token", "x", "y"]).where("x < y OR group < group_b")
+    return met.select(F.least("group", "group_b").alias("group"), F.greatest("group", "group_b").alias("group_b"))
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id of its class) and n_links (documents that it links with)."""
     t = Fraction(threshold)
@@ -379,7 +400,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
         matrix = scratch.keep(listed.mapInPandas(_matrix_rows, _MATRIX), "matrix")
 
     cells = scratch.keep(postings.select("token", "node").join(home, "node").select("token", "group").distinct(), "cells")
-    meet = cells.join(cells.withColumnRenamed("group", "group_b"), "token").where("group < group_b").select("group", "group_b").distinct()
+    meet = _meetings(cells).distinct()
     slim = matrix.select("group", "sketch", "sizes", "sketches", "least", "most", F.octet_length("places").alias("weight"))
     other = lambda df: df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns])
     bounded = meet.join(slim, "group").join(other(slim), "group_b")
@@ -410,7 +431,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
     least = scratch.keep(named.groupBy("label").agg(F.min("rep").alias("component_id")), "classes")
     classes = named.join(least, "label").select("digest", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     classes = scratch.keep(classes, "by-digest")
-    out = rows.join(classes, "digest", "left")
+    counts = scratch.keep(nodes.select("digest", F.col("copies").alias("n")), "copies")
+    for done in (found, named, least, labels, nodes):
+        scratch.drop(done)
+    out = spread_join(rows.where("n > 0"), classes, "digest", counts)
+    out = out.unionByName(rows.where("n = 0"), allowMissingColumns=True)
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -421,14 +446,16 @@ def keep_one_per_class(docs: DataFrame, k: int = 5, threshold: str | Fraction =
     equal in both, one stays.
     """
     scratch = Scratch(docs.sparkSession)
-    name = F.coalesce(F.lpad(F.col(id_col).cast("string"), 20, "0"), F.lit("~"))
-    keyed = docs.withColumn("_row", F.concat(name, F.lit("/"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    classes = jaccard_classes(keyed, k, threshold, "_row", text_col)
-    linked = classes.where("n_shingles > 0 AND n_links > 0").groupBy(F.col("id").alias("_linked")).agg(F.min("component_id").alias("_class"), F.count("*").alias("_rows"))
+    text = col(text_col)
+    name = F.coalesce(F.lpad(col(id_col).cast("string"), 20, "0"), F.lit("~"))
+    key = F.concat(name, F.lit("/"), F.md5(F.coalesce(text, F.lit(""))))
+    classes = jaccard_classes(docs.select(key.alias("key"), text.alias("text")), k, threshold, "key", "text")
+    linked = classes.where("n_shingles > 0 AND n_links > 0").groupBy(F.col("id").alias("key")).agg(F.min("component_id").alias("class"), F.count("*").alias("n"))
     linked = scratch.keep(linked, "linked")
-    few = F.broadcast(linked) if linked.count() <= BROADCAST_ROWS else linked
-    kept = keyed.join(few, F.col("_row") == F.col("_linked"), "left").where("_class IS NULL OR _class = _row")
-    repeated = not linked.where("_rows > 1").isEmpty()
-    if repeated:
-        kept = kept.where("_rows IS NULL OR _rows = 1").unionByName(kept.where("_rows > 1").dropDuplicates(["_row"]))
-    return kept.select(*docs.columns)
+    keyed = docs.select(packed(docs).alias("row"), key.alias("key"))
+    few = linked.withColumnRenamed("key", "linked")
+    few = F.broadcast(few) if linked.count() <= BROADCAST_ROWS else few
+    kept = keyed.join(few, F.col("key") == F.col("linked"), "left").where("class IS NULL OR class = key")
+    if not linked.where("n > 1").isEmpty():
+        kept = kept.where("n IS NULL OR n = 1").unionByName(kept.where("n > 1").dropDuplicates(["key"]))
+    return kept.select(*unpacked(docs))

@@ -17,21 +17,23 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import col
 from .batches import bound_batches
 from .containment import ContainmentIndex
-from .decontamination import _match_column
+from .decontamination import match_column
 from .license_templates import TEMPLATES
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """One row per document and template: id, license, wording, n_template_shingles, n_shared, containment, window_word."""
-    bound_batches(docs.sparkSession)
-    index = ContainmentIndex(list(templates), list(templates.values()), k, threshold)
-    found = docs.select(id_col, _match_column(docs, index, "string", text_col).alias("matches")).where(F.size("matches") > 0)
-    rows = found.select(id_col, F.explode("matches").alias("m"))
-    name = F.split("m.item_id", "/")
+    spark = docs.sparkSession
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(ContainmentIndex(list(templates), list(templates.values()), k, threshold))
+    found = docs.select(col(id_col).alias("id"), match_column(shared, col(text_col)).alias("matches")).where(F.size("matches") > 0)
+    rows = found.select("id", F.explode("matches").alias("m"))
+    name = F.split("m.item", "/")
     return rows.select(
-        id_col,
+        F.col("id").alias(id_col),
         name[0].alias("license"),
         name[1].alias("wording"),
         F.col("m.n_item").alias("n_template_shingles"),

@@ -8,13 +8,16 @@ posterior of being good.  The posteriors of a bounded sample of documents then
 train a linear scorer over hashed words and shape features, which scores whole
 texts and can disagree with the labellers.
 
-No human label is used.  The sample is bounded by ``train_docs``, chosen by the
-hash of the id; counts of votes cover all documents.
+No human label is used.  The sample has about ``train_docs`` documents and
+``train_bytes`` bytes of text at most, chosen by the hash of id and text (rows
+equal in both once, none longer than ``longest`` bytes); counts of votes cover
+all documents.
 
 Defined results: null and empty texts get the bad votes of an empty text, and a
 score as any other; repeated rows vote once each; an empty table gives an empty
 table; without two different posteriors the scorer is the mean posterior;
-clashing columns are replaced.
+columns of the input named votes, posterior, score or keep are replaced, all
+others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import col
 from . import textcore as T
 from .batches import bound_batches, fetched
+from .rows import bounded_sample, packed, unpacked
 
-TRAIN_DOCS = 10_000
+#: What the scorer is trained on at most: documents, bytes of text, bytes of one text.
+TRAIN_DOCS, TRAIN_BYTES, LONGEST = 10_000, 32 << 20, 1 << 20
 BINS = 1 << 16
 GOOD, BAD, NONE = 1, 0, 2
 
@@ -198,7 +204,7 @@ def _vote_array(texts) -> np.ndarray:
     return np.array([["01-".index(c) for c in t] for t in texts], dtype=np.int8).reshape(-1, len(LABELLERS))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> tuple[LabelModel, Scorer]:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, longest: int = LONGEST) -> tuple[LabelModel, Scorer]:
     """The label model from the votes on all documents, and the scorer from a bounded sample."""
     bound_batches(docs.sparkSession)
 
@@ -217,12 +223,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
                 bins = [read.bins[e - c : e].tobytes() for c, e in zip(read.counts.tolist(), ends.tolist(), strict=True)]
                 yield pd.DataFrame({"bins": bins, "scaled": [x.tobytes() for x in read.scaled()], "votes": _vote_text(votes(read.features))})
 
-    texts = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, F.lit("quality")), F.lit(1_000_000)).alias("part"))
-    counted = fetched(texts.select("text").mapInPandas(pattern_counts, "votes string, n bigint").groupBy("votes").agg(F.sum("n").alias("n"))).sort_values("votes")
+    texts = docs.select(col(text_col).alias("text"))
+    counted = fetched(texts.mapInPandas(pattern_counts, "votes string, n bigint").groupBy("votes").agg(F.sum("n").alias("n"))).sort_values("votes")
     labels = LabelModel(_vote_array(counted["votes"]), counted["n"].to_numpy(dtype=np.float64))
-    total = int(counted["n"].sum())
-    below = 1_000_000 if total <= train_docs else int(1_000_000 * train_docs / total)
-    rows = fetched(texts.where(F.col("part") < below).select("text").mapInPandas(sample, "bins binary, scaled binary, votes string"))
+    chosen = bounded_sample(docs, id_col, text_col, train_docs, train_bytes, longest, seed="quality")
+    rows = fetched(chosen.mapInPandas(sample, "bins binary, scaled binary, votes string")).sort_values(["scaled", "bins"])
     bins = [np.frombuffer(b, dtype=np.uint16) for b in rows["bins"]]
     scaled = np.array([np.frombuffer(x, dtype=np.float64) for x in rows["scaled"]]).reshape(len(rows), 1 + 2 * len(FEATURES))
     target = labels.posterior(_vote_array(rows["votes"]))
@@ -247,7 +252,5 @@ def classify_quality(docs: DataFrame, labels: LabelModel, scorer: Scorer, text_c
             score, patterns = model.score(batch)
             yield pd.DataFrame({"votes": _vote_text(patterns), "posterior": label_model.posterior(patterns), "score": score})
 
-    out = docs.withColumn("_judged", judge.asNondeterministic()(F.col(text_col)))
-    for name in ("votes", "posterior", "score"):
-        out = out.withColumn(name, F.col(f"_judged.{name}"))
-    return out.withColumn("keep", F.col("score") >= 0.5).drop("_judged")
+    out = docs.select(packed(docs).alias("row"), judge.asNondeterministic()(col(text_col)).alias("judged"))
+    return out.select(*unpacked(docs, but=("votes", "posterior", "score", "keep")), "judged.*", (F.col("judged.score") >= 0.5).alias("keep"))

@@ -61,9 +61,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    def path() -> str:  # called where the tokenizer is opened
+        import public_tokenizers
+
+        return public_tokenizers.path("byte_bpe_50k.json")
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
@@ -93,14 +95,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _containment_sql(items: str) -> str:
-    """doc_id, item_id, n, shared of documents that hold four fifths of an item's five-word shingles; items(item_id, text) have five words at least."""
+    """doc_id, item_id, n, shared of documents that hold four fifths of an item's five-word shingles; of items of fewer words, the whole sequence."""
     words = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
     return f"""
         WITH words AS (SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, {words} AS w FROM documents UNION ALL SELECT 'i', CAST(item_id AS VARCHAR), {words} FROM {items}),
         grams AS (SELECT DISTINCT kind, id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
         sizes AS (SELECT id, count(*) AS n FROM grams WHERE kind = 'i' GROUP BY id),
+        lines AS (SELECT kind, id, len(w) AS n, ' ' || array_to_string(w, ' ') || ' ' AS line FROM words WHERE len(w) > 0),
         found AS (SELECT CAST(d.id AS BIGINT) AS doc_id, i.id AS item_id, s.n, count(*) AS shared FROM grams i JOIN grams d ON d.kind = 'd' AND i.kind = 'i' AND d.g = i.g JOIN sizes s ON s.id = i.id
-                  GROUP BY d.id, i.id, s.n HAVING count(*) * 5 >= s.n * 4)
+                  GROUP BY d.id, i.id, s.n HAVING count(*) * 5 >= s.n * 4
+                  UNION ALL SELECT CAST(d.id AS BIGINT), i.id, 1, 1 FROM lines i JOIN lines d ON d.kind = 'd' AND i.kind = 'i' AND i.n < 5 AND contains(d.line, i.line))
     """
 
 
@@ -133,7 +137,8 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE docs AS (
             SELECT doc_id, source,
                    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                   (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || md5(coalesce(text, '')) || '/mix'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+                   (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || md5(coalesce(text, '')) || '/mix'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
+                   greatest(1e-9::DOUBLE, coalesce(strlen(text), 0) / (coalesce(strlen(text), 0) + 512.0::DOUBLE)) AS appeal, row_number() OVER () AS nth
             FROM documents),
         s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
         s1 AS (SELECT source, source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM s0),
@@ -147,16 +152,16 @@ ORACLES: dict[str, str] = {
         plan AS (SELECT *, CAST(floor(ratio + 1e-9::DOUBLE) AS BIGINT) AS whole,
                         greatest(0.0::DOUBLE, ratio - CAST(floor(ratio + 1e-9::DOUBLE) AS BIGINT)) AS p,
                         greatest(0.0::DOUBLE, target - CAST(floor(ratio + 1e-9::DOUBLE) AS BIGINT) * source_size) AS rest FROM s6),
-        ranked AS (SELECT d.doc_id, d.source, d.size, plan.source_size, plan.target, plan.whole, plan.rest,
-                          CASE WHEN p > 0 AND size > 0 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS odds
+        ranked AS (SELECT d.doc_id, d.nth, d.source, d.size, plan.source_size, plan.target, plan.whole, plan.rest,
+                          CASE WHEN p > 0 AND size > 0 THEN u / (1.0::DOUBLE - u) / appeal END AS odds
                    FROM docs d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source),
-        summed AS (SELECT *, CASE WHEN odds IS NOT NULL THEN sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds, doc_id, size ROWS UNBOUNDED PRECEDING) END AS upto FROM ranked),
+        summed AS (SELECT *, CASE WHEN odds IS NOT NULL THEN sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds, doc_id, size, nth ROWS UNBOUNDED PRECEDING) END AS upto FROM ranked),
         marked AS (SELECT *, coalesce(upto <= rest, false) AS inside,
                           rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM summed),
-        filler AS (SELECT source, arg_min(doc_id, (abs(gap - size), odds)) AS doc_id FROM marked
+        filler AS (SELECT source, arg_min(nth, (abs(gap - size), odds, nth)) AS nth FROM marked
                    WHERE NOT inside AND odds IS NOT NULL AND abs(gap - size) < gap GROUP BY source)
         SELECT m.doc_id, m.size, m.source_size, m.target,
-               CAST((m.whole + CASE WHEN m.inside OR f.doc_id IS NOT NULL THEN 1 ELSE 0 END) * m.size AS BIGINT) AS taken
-        FROM marked m LEFT JOIN filler f ON m.source IS NOT DISTINCT FROM f.source AND m.doc_id = f.doc_id
+               CAST((m.whole + CASE WHEN m.inside OR f.nth IS NOT NULL THEN 1 ELSE 0 END) * m.size AS BIGINT) AS taken
+        FROM marked m LEFT JOIN filler f ON m.source IS NOT DISTINCT FROM f.source AND m.nth = f.nth
     """,
 }

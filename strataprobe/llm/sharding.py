@@ -8,7 +8,8 @@ rows and never shuffles rows between old shards.
 Defined results: a null key falls back to the text's digest (so that null keys
 spread and equal texts stay together); a null text has size 1 and the CRC of no
 bytes; repeated rows each get a slot; an empty table gives an empty table.
-Columns of the input that clash with result columns are replaced by them.
+Columns of the input named size, text_crc32, law, shard, slot or grown_shard are
+replaced, all others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import col
+from .rows import packed, unpacked
 from .scratch import Scratch
 
 _SPAN = float(1 << 52)
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def record_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    return F.coalesce(col(id_col).cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(col(text_col), F.lit("")), 256)))
 
 
 def rendezvous(key: Column, shards: Sequence[tuple[int, float]], seed: str = "shard") -> Column:
@@ -54,26 +58,21 @@ def shard_documents(
     so no task ever holds a whole shard, however hot a key may be.
     """
     scratch = Scratch(docs.sparkSession)
-    added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    base = docs.select(*[c for c in docs.columns if c not in added and (keep_columns or c == id_col)], *([] if keep_columns or text_col == id_col else [text_col]))
-    key = F.col("_key")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(col(text_col), F.lit(""))
+    key = F.col("key")
+    row = packed(docs) if keep_columns else F.struct(col(id_col).alias(id_col))
     rows = (
-        base.withColumn("_key", record_key(id_col, text_col))
-        .withColumn("size", (F.octet_length(text) + 1).cast("long"))
-        .withColumn("text_crc32", F.crc32(F.encode(text, "UTF-8")).cast("long"))
-        .withColumn("law", F.lit("key"))
+        docs.select(row.alias("row"), record_key(id_col, text_col).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), F.lit("key").alias("law"))
         .withColumn("shard", rendezvous(key, shards).cast("int"))
         .withColumn("grown_shard", rendezvous(key, [*shards, grown]).cast("int") if grown else F.lit(None).cast("int"))
-        .withColumn("_split", F.spark_partition_id())
-        .drop(*([] if keep_columns else [text_col]))
+        .withColumn("split", F.spark_partition_id())
     )
     rows = scratch.keep(rows, "sharded")
-    counts = rows.groupBy("shard", "_split").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = scratch.keep(counts.select("shard", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")), "offsets")
-    within = Window.partitionBy("shard", "_split").orderBy("_key", "text_crc32", "size")
-    numbered = rows.withColumn("_rank", F.row_number().over(within).cast("long") - 1)
-    out = numbered.join(offsets, ["shard", "_split"]).withColumn("slot", F.col("_offset") + F.col("_rank"))
-    names = [c for c in base.columns if keep_columns or c != text_col]
-    return out.select(*names, *added)
+    counts = rows.groupBy("shard", "split").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = scratch.keep(counts.select("shard", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
+    within = Window.partitionBy("shard", "split").orderBy("key", "text_crc32", "size")
+    numbered = rows.withColumn("place", F.row_number().over(within).cast("long") - 1)
+    out = numbered.join(offsets, ["shard", "split"]).withColumn("slot", F.col("offset") + F.col("place"))
+    kept = unpacked(docs, but=ADDED) if keep_columns else [F.col("row").getField(id_col).alias(id_col)]
+    return out.select(*kept, *ADDED)

@@ -2,18 +2,24 @@
 
 Byte-level BPE never merges across pre-tokens, so a text's token count is the
 sum over its pre-tokens.  Tier one is a broadcast table of the lengths of the
-most frequent pre-tokens of the whole corpus; tier two is each worker's cache,
-which encodes what tier one misses.  Pre-tokens are never shuffled: the table
-comes from one bounded summary per task, merged pairwise in a tree.
+most frequent pre-tokens, counted in a bounded sample of the texts (about
+``SAMPLE_DOCS`` documents and ``SAMPLE_BYTES`` bytes); tier two is each worker's
+cache, which encodes what tier one misses.  Pre-tokens are never shuffled.
 
-The table holds at most ``FREQUENT`` entries of at most ``LONGEST`` characters,
-and a worker's cache at most ``CACHED``, so memory is bounded at any input size.
-Either tier only saves work: counts always equal the library's.
+The table holds at most ``FREQUENT`` entries and a worker's cache at most
+``CACHED``, none of more than ``LONGEST`` characters; longer pre-tokens are
+encoded each time.  So memory is bounded at any input size.  Either tier only
+saves work: counts always equal the library's, whatever the sample holds.
+
+The tokenizer is given by a path that the workers can read, or by a function
+that each worker calls for its own path.
 
 Defined results: null counts as the empty text, which has 0 tokens; special
 strings inside texts are handled as the library does by default (texts that
 hold one are encoded by it whole); texts with characters outside the checked
-alphabet are split by the library's own pre-tokeniser.
+alphabet are split by the library's own pre-tokeniser; an empty table gives an
+empty table; columns of the input named n_bytes, n_tokens or over_limit are
+replaced, all others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -22,18 +28,21 @@ import functools
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import bound_batches
+from ..functions.scalars import col
+from .batches import bound_batches, fetched
+from .rows import bounded_sample, packed, unpacked
 
 FREQUENT = 32_768
 LONGEST = 64
 CACHED = 400_000
-_SUMMARY = 4 * FREQUENT
+#: What the table of frequent pre-tokens is counted in at most: documents, bytes of text, bytes of one text.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT = 20_000, 16 << 20, 1 << 20
 _CHECKED = 0x3000
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
@@ -60,11 +69,11 @@ def _splitters():
 class Counter50k:
     """Counts tokens of texts as the tokenizers library does, by pre-token."""
 
-    def __init__(self, path: str, frequent: dict[str, int] | None = None):
+    def __init__(self, path: str | Callable[[], str], frequent: dict[str, int] | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path() if callable(path) else path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.frequent = frequent or {}
@@ -78,9 +87,8 @@ class Counter50k:
             return self.split.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
-    def encode(self, missing: list[str]) -> None:
-        for piece, encoded in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.cache[piece] = len(encoded)
+    def lengths(self, pieces: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -91,7 +99,16 @@ class Counter50k:
         found = list(map(self.frequent.get, pieces))
         if None not in found:
             return sum(found)
-        rest = [p for p, n in zip(pieces, found, strict=True) if n is None]
+        total, rest, long = 0, [], []
+        for piece, n in zip(pieces, found, strict=True):
+            if n is not None:
+                total += n
+            elif len(piece) <= LONGEST:
+                rest.append(piece)
+            else:
+                long.append(piece)
+        if long:
+            total += sum(self.lengths(long))
         missing = list({p for p in rest if p not in self.cache})
         if len(missing) > CACHED:
             return len(self.tokenizer.encode(text, add_special_tokens=False))
@@ -99,52 +116,32 @@ class Counter50k:
             if len(self.cache) + len(missing) > CACHED:
                 self.cache.clear()
                 missing = list(set(rest))
-            self.encode(missing)
-        return sum(n for n in found if n is not None) + sum(map(self.cache.__getitem__, rest))
-
-
-def _pruned(counts: Counter[str], size: int) -> Counter[str]:
-    return Counter(dict(counts.most_common(size))) if len(counts) > size else counts
-
+            self.cache.update(zip(missing, self.lengths(missing), strict=True))
+        return total + sum(map(self.cache.__getitem__, rest))
 
-def merge_summaries(a: Counter[str], b: Counter[str]) -> Counter[str]:
-    return _pruned(a + b, _SUMMARY)
 
+def frequent_lengths(docs: DataFrame, path: str | Callable[[], str], id_col: str = "doc_id", text_col: str = "text", size: int = FREQUENT) -> dict[str, int]:
+    """Token lengths of the most frequent pre-tokens of a bounded sample; each task counts its part of it."""
 
-def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", size: int = FREQUENT) -> dict[str, int]:
-    """Token lengths of the most frequent pre-tokens of all texts."""
-
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter, counts = Counter50k(path), Counter()
         for batch in batches:
-            for text in batch[text_col]:
-                if text:
-                    counts.update(counter.pieces(text))
-            if len(counts) > 2 * _SUMMARY:
-                counts = _pruned(counts, _SUMMARY)
-        kept = {p: n for p, n in _pruned(counts, _SUMMARY).items() if len(p) <= LONGEST}
-        yield pd.DataFrame({"summary": [json.dumps(kept)]})
-
-    def read(row) -> Counter[str]:
-        import json
-
-        return Counter(json.loads(row.summary))
+            for text in batch["text"]:
+                counts.update(p for p in counter.pieces(text) if len(p) <= LONGEST)
+        pieces = list(counts)
+        yield pd.DataFrame({"piece": pd.Series(pieces, dtype=object), "n": pd.Series([counts[p] for p in pieces], dtype="int64"), "tokens": pd.Series(counter.lengths(pieces), dtype="int64")})
 
-    summaries = docs.select(text_col).mapInPandas(summarise, "summary string").rdd.map(read)
-    merged = summaries.treeReduce(merge_summaries, depth=3) if summaries.getNumPartitions() else Counter()
-    counter = Counter50k(path)
-    ranked = sorted(merged.items(), key=lambda x: (-x[1], x[0]))[:size]
-    counter.encode([p for p, _ in ranked])
-    return {p: counter.cache[p] for p, _ in ranked}
+    sample = bounded_sample(docs, id_col, text_col, SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT, seed="tokens")
+    found = fetched(sample.mapInPandas(count, "piece string, n bigint, tokens bigint")).groupby("piece").agg({"n": "sum", "tokens": "first"})
+    found = found.sort_index().sort_values("n", ascending=False, kind="stable").head(size)
+    return dict(zip(found.index, found["tokens"].tolist(), strict=True))
 
 
-def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int = 512, size: int = FREQUENT) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str | Callable[[], str], id_col: str = "doc_id", text_col: str = "text", limit: int = 512, size: int = FREQUENT) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (more than limit tokens)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(frequent_lengths(docs, path, text_col, size))
+    shared = spark.sparkContext.broadcast(frequent_lengths(docs, path, id_col, text_col, size))
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -152,6 +149,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int
         for batch in batches:
             yield pd.Series([counter.count(t) for t in batch], dtype="int64")
 
-    text = F.col(text_col)
-    out = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
-    return out.withColumn("n_tokens", tokens(text)).withColumn("over_limit", F.col("n_tokens") > limit)
+    text = col(text_col)
+    size_of = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    out = docs.select(packed(docs).alias("row"), size_of.alias("n_bytes"), tokens.asNondeterministic()(text).alias("n_tokens"))
+    return out.select(*unpacked(docs, but=("n_bytes", "n_tokens", "over_limit")), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

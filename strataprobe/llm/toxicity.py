@@ -11,8 +11,10 @@ evidence is that difference per character of the whole text, the largest
 difference of any one word, and the shares of words whose whole difference lies
 above each of several steps, so that a toxic stem counts however long its word
 is.  A logistic curve fitted on labelled rows that the counts have not seen
-weighs the steps and turns the evidence into a score.  Word counts are gathered from all labelled training rows but those the
-curve is fitted on (a fifth, at most about 20,000), so they grow with the input, and so does the table of n-grams: all of them enter the model.
+weighs the steps and turns the evidence into a score.  Word counts are gathered
+from all labelled training rows but those the curve is fitted on (a fifth, at
+most about ``calibration_rows``, by the hash of id and text), so they grow with
+the input, and so does the table of n-grams: all of them enter the model.
 Up to ``max_grams`` n-grams are broadcast.  Beyond that the model is a written
 table; the ``max_grams`` most frequent n-grams are broadcast as a cache, and the
 words that hold any other n-gram are looked up in the table by a join.  Both ways
@@ -21,8 +23,9 @@ give the same evidence.
 Defined results: null and empty texts have no evidence and get the score of that
 evidence; rows without a label are not learnt from; repeated labels count once a
 row; without training rows of both classes every score is the share of toxic
-rows (0 without any); an empty table gives an empty table; clashing columns are
-replaced.
+rows (0 without any); an empty table gives an empty table; columns of the input
+named score or predicted are replaced by score_toxicity, all others are kept
+whatever their names; reject_toxic changes no column.
 """
 
 from __future__ import annotations
@@ -34,9 +37,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import col
 from . import textcore as T
 from .batches import bound_batches, fetched, most_frequent
 from .language_id import held_out
+from .rows import packed, row_hash, spread_join, unpacked
 from .scratch import Scratch
 
 ORDER = 5
@@ -201,7 +206,8 @@ def _evidence_by_text(texts: DataFrame, model: Model, shared, scratch: Scratch)
             yield pd.DataFrame({"key": batch["key"], **dict(zip(_SUMS, own.T, strict=True)), "rest": [[{"word": w, "n": n} for w, n in words] for words in rest]})
 
     schema = "key string, " + ", ".join(f"{c} double" for c in _SUMS) + ", rest array<struct<word: string, n: bigint>>"
-    made = scratch.keep(texts.mapInPandas(sums, schema).dropDuplicates(["key"]), "sums")
+    firsts = [F.first(c).alias(c) for c in (*_SUMS, "rest")]
+    made = scratch.keep(texts.mapInPandas(sums, schema).groupBy("key").agg(F.count("*").alias("rows"), *firsts), "sums")
     rest = made.select("key", F.explode("rest").alias("r")).select("key", "r.word", "r.n")
     values, contexts = model.tables
     padded = F.concat(F.lit(_PAD * (model.order - 1)), F.col("word"), F.lit(_END))
@@ -213,28 +219,32 @@ def _evidence_by_text(texts: DataFrame, model: Model, shared, scratch: Scratch)
     adds = [F.sum(n * total).alias("a1"), F.sum(n * F.col("length")).alias("a2"), F.max("total").alias("a3")]
     adds += [F.sum(F.when(total > float(step), n).otherwise(0)).alias(f"a{4 + i}") for i, step in enumerate(_STEPS)]
     added = rest.join(looked, "word").groupBy("key").agg(*adds)
-    both = made.drop("rest").join(added, "key", "left")
+    both = made.drop("rest").join(added, "key", "left")  # a row a distinct text
     s = [F.col("s0")] + [F.greatest("s3", "a3") if i == 3 else F.col(f"s{i}") + F.coalesce(f"a{i}", F.lit(0)) for i in range(1, len(_SUMS))]
     evidence = [s[1] / F.greatest(s[2], F.lit(1.0)), s[3], *[x / F.greatest(s[0], F.lit(1.0)) for x in s[4:]]]
-    return scratch.keep(both.select("key", F.array(*evidence).alias("evidence")), "evidence")
+    found = scratch.keep(both.select("key", "rows", F.array(*evidence).alias("evidence")), "evidence")
+    scratch.drop(made)
+    return found
 
 
 def with_evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with _evidence."""
+    """(row, evidence): the rows of docs as a struct, each with its evidence."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    row, text = packed(docs).alias("row"), col(text_col)
     if model.tables is not None:
-        key = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-        found = _evidence_by_text(docs.select(key.alias("key"), F.col(text_col).alias("text")), model, shared, Scratch(spark))
-        found = found.select(F.col("key").alias("_key"), F.col("evidence").alias("_evidence"))
-        return docs.withColumn("_key", key).join(found, "_key", "left").drop("_key")
+        key = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("key")
+        found = _evidence_by_text(docs.select(key, text.alias("text")), model, shared, Scratch(spark))
+        counts = found.select("key", F.col("rows").alias("n"))
+        return spread_join(docs.select(row, key), found.drop("rows"), "key", counts).drop("key")
 
     @F.pandas_udf("array<double>")
     def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(list(shared.value.evidence(batch)))
 
-    return docs.withColumn("_evidence", evidence(F.col(text_col)))
+    # as non-deterministic, so that a filter on the score does not gather the evidence a second time
+    return docs.select(row, evidence.asNondeterministic()(text).alias("evidence"))
 
 
 def _shared(grams: np.ndarray, discount: float) -> np.ndarray:
@@ -271,10 +281,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: int =
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, text, toxic) of the documents that have a label; the labels are broadcast only if few."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
+    known = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.max(col(label_col)).alias("toxic"))
     if labels.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(known, "id")
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where("text IS NOT NULL").join(known, "id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
@@ -285,9 +295,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     bound_batches(spark)
     rows = labelled_rows(docs, labels, id_col, text_col, label_col)
-    part = F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(1_000_000))
-    below = min(200_000, int(1_000_000 * calibration_rows / max(labels.count(), 1)))
-    grams = gram_counts(word_counts(rows.where(part >= below))).withColumn("n", F.col("toxic") + F.col("ordinary"))
+    total = rows.count()
+    below = int(min(total // 5, calibration_rows) / max(total, 1) * 2**63)
+    rows = rows.withColumn("h", row_hash(F.col("id"), F.col("text"), seed="curve"))
+    grams = gram_counts(word_counts(rows.where(F.col("h") >= below))).withColumn("n", F.col("toxic") + F.col("ordinary"))
     scratch = Scratch(spark)
     grams = scratch.keep(grams, "grams")
     known = grams.count()
@@ -295,23 +306,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model = Model.of(fetched(grams.drop("n")).sort_values("gram"))
     else:
         model = Model.written(difference_tables(grams, scratch), max_grams)
-    seen = fetched(with_evidence(rows.where(part < below), model).select(F.col("toxic").cast("double").alias("y"), "_evidence"))
+    chosen = rows.where(F.col("h") < below).dropDuplicates(["h"])  # copies once, so that no group of them breaks the bound
+    seen = fetched(with_evidence(chosen, model).select(F.col("row.toxic").cast("double").alias("y"), "evidence"))
     if known and seen["y"].nunique() > 1:
-        model.curve = _logistic(np.array(seen["_evidence"].tolist()), seen["y"].to_numpy())
+        model.curve = _logistic(np.array(seen["evidence"].tolist()), seen["y"].to_numpy())
     else:
         share = float(seen["y"].mean()) if len(seen) else 0.0
         model.curve = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9))] + [0.0] * _EVIDENCE)
     return model
 
 
-def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score and predicted."""
+def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """(row, score)"""
     bound_batches(docs.sparkSession)
     z = F.lit(float(model.curve[0]))
     for i, slope in enumerate(model.curve[1:]):
-        z = z + F.col("_evidence")[i] * float(slope)
-    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
-    return with_evidence(docs, model, text_col).withColumn("score", score).drop("_evidence").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        z = z + F.col("evidence")[i] * float(slope)
+    return with_evidence(docs, model, text_col).select("row", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))).alias("score"))
+
+
+def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with score and predicted."""
+    return _scored(docs, model, text_col).select(*unpacked(docs, but=("score", "predicted")), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the model does not call toxic, with docs' own columns."""
+    return _scored(docs, model, text_col).where("score < 0.5").select(*unpacked(docs))
 
 
-__all__ = ["Model", "fit", "held_out", "score_toxicity"]
+__all__ = ["Model", "fit", "held_out", "reject_toxic", "score_toxicity"]
