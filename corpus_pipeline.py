@@ -1,8 +1,10 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark passages, mixing, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns what goes on; between stages
-the rows are written and read again.  All stages but the last return the columns
-of documents.
+the rows are written and read again, and the tables that a stage made go.  All
+stages but the last return the columns of documents, whatever they are called
+and however many there are; the last adds those of the shards and replaces
+columns of the same names.
 """
 
 from __future__ import annotations
@@ -10,13 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strataprobe.llm import toxicity
 from strataprobe.llm.decontamination import decontaminate
 from strataprobe.llm.jaccard_join import keep_one_per_class
-from strataprobe.llm.mixing import mix_sources
-from strataprobe.llm.scratch import Scratch
+from strataprobe.llm.mixing import mixed_rows
+from strataprobe.llm.scratch import Scratch, temporary_tables
 from strataprobe.llm.sharding import shard_documents
 
 
@@ -24,7 +25,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the toxicity model, learnt from the labelled rows among them, does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out("doc_id", 5, 0)))
-    return toxicity.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.reject_toxic(docs, model)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mix_sources(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixed_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +65,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        out = scratch.keep(stage(spark, docs, sf_dir), name)
-        if docs is not None and hasattr(docs, "_scratch_path"):
+        with temporary_tables():
+            out = scratch.keep(stage(spark, docs, sf_dir), name)
+        if hasattr(docs, "_scratch_path"):
             scratch.drop(docs)
         docs = out
     return docs
