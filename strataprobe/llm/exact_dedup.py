@@ -58,14 +58,13 @@ class _Settings:
                 self.spark.conf.set(k, v)
 
 
-#: While bytes are compared: a filter on the keys of hits, of 8 MB however many there are, is made first and applied in the scan,
-#: so that other texts are (mostly, beyond some millions of hits) not shuffled.
+#: While bytes are compared: a filter on the keys of hits, of 2 MB however many there are, is made first and applied in the scan,
+#: so that other texts are (mostly, beyond some million hits) not shuffled.
 _FILTERED = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
-    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
-    "spark.sql.optimizer.runtime.bloomFilter.numBits": "67108864",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "16777216",
 }
 
 
@@ -146,13 +145,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _unequal(rows: DataFrame, joined: DataFrame, salt_rows: int) -> DataFrame:
-    """Digests of which some copy's bytes differ from those of the row that stays."""
-    at = F.xxhash64("file", "row").alias("at")  # one key, by which the scan can be filtered
+    """Digests of which some copy's bytes differ from those of the row that stays.
+
+    Rows find their mark by the hash of their place, the one key by which the
+    scan can be filtered; should two places collide, their digests only come up here.
+    """
+    at = F.xxhash64("file", "row").alias("at")
     hits = joined.where(F.col("n") > 1)
     salts = F.ceil(F.col("n") / F.lit(salt_rows)).cast("int")
     stays = F.when(F.col("kept"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("file", "row"), salts).cast("int")))
-    marks = hits.select(at, "file", "row", "digest", "kept", stays.alias("salts"))
-    texts = rows.select(at, "file", "row", "text").join(marks, ["at", "file", "row"])
+    marks = hits.select(at, "digest", "kept", stays.alias("salts"))
+    texts = rows.select(at, "text").join(marks, "at")
     left = texts.where(~F.col("kept")).select("digest", F.col("salts")[0].alias("salt"), "text")
     right = texts.where("kept").select("digest", F.explode("salts").alias("salt"), F.col("text").alias("kept_text"))
     return left.join(right, ["digest", "salt"]).where(F.col("text") != F.col("kept_text")).select("digest").distinct()
