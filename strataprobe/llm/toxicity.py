@@ -8,9 +8,10 @@ a class really prefers moves the balance.
 
 For every word the log-likelihoods of the two models are compared.  A text's
 evidence is that difference per character of the whole text, the largest
-difference of any one word, and the shares of words whose whole difference lies
+difference of any one word, the shares of words whose whole difference lies
 above each of several steps, so that a toxic stem counts however long its word
-is.  A logistic curve fitted on labelled rows that the counts have not seen
+is, and for some steps the number of such words over the root of all words, as
+one in a short text may be chance.  A logistic curve fitted on labelled rows that the counts have not seen
 weighs the steps and turns the evidence into a score.  Word counts are gathered
 from all labelled training rows but those the curve is fitted on (a fifth, at
 most about ``calibration_rows``, by the hash of id and text), so they grow with
@@ -50,9 +51,10 @@ DISCOUNT = 0.75
 CALIBRATION_ROWS = 20_000
 BROADCAST_LABELS = 1_000_000
 _PAD, _END = "\x02", "\x03"
-#: Differences of a word, in nats, above which shares of words are taken; the curve sets their weights.
-_STEPS = np.arange(1.0, 7.0)
-_EVIDENCE = 2 + len(_STEPS)
+#: Differences of a word, in nats, above which words are counted: for shares of all words, and against the root of all words; the curve sets the weights.
+_STEPS = np.array([1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0])
+_SHARES, _ROOTS = [0, 1, 2, 3, 4, 5], [3, 5, 6]
+_EVIDENCE = 2 + len(_SHARES) + len(_ROOTS)
 
 
 def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
@@ -156,13 +158,13 @@ class Model:
         return np.add.reduceat(np.where(valid, value, 0.0), begin), (size - n + 1).astype(np.float64), missing
 
     def evidence(self, texts) -> np.ndarray:
-        """By text: the difference per character, the largest of a word, and the share of words above each step."""
+        """By text: the difference per character, the largest of a word, and the shares and roots of words above steps."""
         return _ratios(self.sums(texts)[0])
 
     def sums(self, texts) -> tuple[np.ndarray, list[list[tuple[str, int]]]]:
         """By text: what its words that are not open add up to (see ``_ratios``), and the open words with their numbers."""
         parts = [self._sums(texts[p]) for p in T.portions(texts)]
-        return np.concatenate([np.empty((0, 2 + _EVIDENCE)), *[p for p, _ in parts]]), [w for _, o in parts for w in o]
+        return np.concatenate([np.empty((0, len(_SUMS))), *[p for p, _ in parts]]), [w for _, o in parts for w in o]
 
     def _sums(self, texts) -> tuple[np.ndarray, list[list[tuple[str, int]]]]:
         words = T.Words(texts)
@@ -191,10 +193,11 @@ class Model:
 
 def _ratios(sums: np.ndarray) -> np.ndarray:
     """Evidence from a text's number of words, sum of differences, sum of lengths, largest difference, and words above each step."""
-    return np.column_stack((sums[:, 1] / np.maximum(sums[:, 2], 1), sums[:, 3], sums[:, 4:] / np.maximum(sums[:, :1], 1)))
+    words, above = np.maximum(sums[:, :1], 1), sums[:, 4:]
+    return np.column_stack((sums[:, 1] / np.maximum(sums[:, 2], 1), sums[:, 3], above[:, _SHARES] / words, above[:, _ROOTS] / np.sqrt(words)))
 
 
-_SUMS = [f"s{i}" for i in range(2 + _EVIDENCE)]
+_SUMS = [f"s{i}" for i in range(4 + len(_STEPS))]
 
 
 def _evidence_by_text(texts: DataFrame, model: Model, shared, scratch: Scratch) -> DataFrame:
@@ -221,7 +224,8 @@ def _evidence_by_text(texts: DataFrame, model: Model, shared, scratch: Scratch)
     added = rest.join(looked, "word").groupBy("key").agg(*adds)
     both = made.drop("rest").join(added, "key", "left")  # a row a distinct text
     s = [F.col("s0")] + [F.greatest("s3", "a3") if i == 3 else F.col(f"s{i}") + F.coalesce(f"a{i}", F.lit(0)) for i in range(1, len(_SUMS))]
-    evidence = [s[1] / F.greatest(s[2], F.lit(1.0)), s[3], *[x / F.greatest(s[0], F.lit(1.0)) for x in s[4:]]]
+    words = F.greatest(s[0], F.lit(1.0))
+    evidence = [s[1] / F.greatest(s[2], F.lit(1.0)), s[3], *[s[4 + i] / words for i in _SHARES], *[s[4 + i] / F.sqrt(words) for i in _ROOTS]]
     found = scratch.keep(both.select("key", "rows", F.array(*evidence).alias("evidence")), "evidence")
     scratch.drop(made)
     return found
@@ -263,7 +267,7 @@ def _shared(grams: np.ndarray, discount: float) -> np.ndarray:
     return value[which]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, rounds: int = 50) -> np.ndarray:
     """Newton's method with a small penalty on the slopes."""
     x = np.column_stack((np.ones(len(x)), x))
     scale = np.maximum(x.std(axis=0), 1e-9)
