@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strataprobe.llm.mixing import mix_sources, source_targets
+from strataprobe.llm.mixing import mix_sources, mixed_rows, source_targets
 
 
 def water_fill(sizes, weights=(1, 2, 3), cap=3):
@@ -48,18 +48,19 @@ def test_taken_words_come_near_targets_and_reruns_agree(documents):
 
 
 def test_brute_force_order(documents):
-    """The documents that a source takes are those of the least rank, but for the one that closes the gap."""
+    """The documents that a source takes are those of the least rank by length odds, but for the one that closes the gap."""
     import hashlib
 
     docs = documents(*[(i, "w " * (5 + i % 11), "en", "only" if i % 2 else "other") for i in range(200)])
     rows = check(mix_sources(docs), 200)
 
-    def u(r):
+    def rank(r):
         inner = hashlib.md5(r.text.encode()).hexdigest()
-        return (int(hashlib.md5(f"{r.doc_id}/{inner}/mix".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        u = (int(hashlib.md5(f"{r.doc_id}/{inner}/mix".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return u / (1 - u) / (len(r.text) / (len(r.text) + 512))
 
     for source in ("only", "other"):
-        own = sorted((r for r in rows if r.source == source), key=u)
+        own = sorted((r for r in rows if r.source == source), key=rank)
         whole = min(r.copies for r in own)
         extra = [r.copies > whole for r in own]
         changes = sum(a != b for a, b in zip(extra, extra[1:], strict=False))
@@ -78,3 +79,48 @@ def test_clashing_columns_and_appeal(documents):
     rows = check(mix_sources(docs, appeal_col="appeal"), 400)
     share = lambda p: [r.copies for r in rows if r.source == "a" and (r.doc_id % 4 < 2) is p]
     assert sum(share(True)) > sum(share(False))
+
+
+def shares_of(rows, key):
+    """Copies a document by key, beyond the whole ones."""
+    least = min(r.copies for r in rows)
+    out = {}
+    for r in rows:
+        n, k = out.get(key(r), (0, 0))
+        out[key(r)] = n + 1, k + r.copies - least
+    return {k: v / n for k, (n, v) in out.items()}
+
+
+def test_longer_texts_are_drawn_more_often(documents):
+    """Inclusion probabilities rise with length as the odds say, under one factor that meets the target."""
+    docs = documents(*[(i, "word " * (10 if i % 2 else 200), "en", "ab"[i % 4 // 2]) for i in range(4000)])
+    rows = [r for r in check(mix_sources(docs), 4000) if r.source == "a"]
+    found = shares_of(rows, lambda r: r.size)
+    odds = {n: found[n] / (1 - found[n]) for n in found}
+    want = (1000 / 1512) / (50 / 562)
+    assert 0.7 * want < odds[200] / odds[10] < 1.4 * want
+
+
+@pytest.mark.parametrize("ident", [5, None])
+def test_equal_rows_are_taken_one_by_one(documents, ident):
+    """300 equal rows of 10 words, target 2000 words: 200 of them, within one document."""
+    docs = documents(*[(ident, "w " * 10, "en", "a") for _ in range(300)], *[(1000 + i, "w " * 10, "en", "b") for i in range(300)]).repartition(6)
+    rows = mix_sources(docs).collect()
+    for source in "ab":
+        own = [r for r in rows if r.source == source]
+        assert len(own) == 300 and abs(sum(r.taken for r in own) - own[0].target) <= 10
+    kept = mixed_rows(docs).collect()
+    assert sum(r.source == "a" for r in kept) == sum(r.copies for r in rows if r.source == "a")
+
+
+def test_equal_rows_among_others(documents):
+    docs = documents(*[(i, "w " * (3 + i % 17), "en", "s") for i in range(200)], *[(7000, "hot " * 9, "en", "s") for _ in range(150)], *[(8000 + i, "x " * 11, "en", "t") for i in range(400)]).repartition(5)
+    check(mix_sources(docs), 750)
+
+
+def test_extreme_odds(documents):
+    """Odds near the ends of a double, zero, negative, not a number and null: no division fails, targets are met."""
+    values = [1e9, 1e300, float("inf"), 0.0, -3.0, float("nan"), None, 1e-300, 1.0, 2.0]
+    docs = documents(*[(i, "w " * (1 + i % 7), "en", "ab"[i % 2]) for i in range(800)])
+    appeal = F.element_at(F.array(*[F.lit(v).cast("double") for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
+    check(mix_sources(docs.withColumn("appeal", appeal), appeal_col="appeal"), 800)
