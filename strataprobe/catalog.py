@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from enum import Enum
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import ContextNotFound, ResourceNotFound
@@ -69,12 +71,12 @@ class Relationship:
 
 
 class Context:
-    """A dataset: an ordered set of resources, each a lazy DataFrame.
+    """A dataset: an ordered set of resources, each a lazy DataFrame or a function that makes it on first use.
 
     Infos and relationships are worked out on first use and kept until refresh().
     """
 
-    def __init__(self, spark: SparkSession, name: str, tables: dict[str, DataFrame], kind: ContextType = ContextType.UNKNOWN, description: str | None = None, locations: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, name: str, tables: dict[str, DataFrame | Callable[[], DataFrame]], kind: ContextType = ContextType.UNKNOWN, description: str | None = None, locations: dict[str, str] | None = None):
         self.spark, self.name, self.description, self._kind = spark, name, description, kind
         self._tables, self.locations = dict(tables), dict(locations or {})
         self.refresh()
@@ -109,7 +111,13 @@ class Context:
         chosen = resource or self.primary_resource
         if chosen not in self._tables:
             raise ResourceNotFound(f"resource {chosen!r} is not one of {self.resources}")
-        return self._tables[chosen]
+        found = self._tables[chosen]
+        if not isinstance(found, DataFrame):
+            found = self._tables[chosen] = found()
+        return found
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {r: self.table(r) for r in self.resources}
 
     def read_resource(self, resource: str, fields: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """Some columns (in the table's order) and at most limit rows; empty and 0 mean all."""
@@ -118,16 +126,12 @@ class Context:
             df = df.select(*[col(c) for c in df.columns if c in fields])
         return df.limit(limit) if limit else df
 
-    def iter_resource(self, resource: str, chunksize: int = 10_000) -> Iterator[list]:
-        """Rows in lists of chunksize; one partition at a time is on the driver."""
-        chunk: list = []
-        for row in self.table(resource).toLocalIterator():
-            chunk.append(row)
-            if len(chunk) == chunksize:
-                yield chunk
-                chunk = []
-        if chunk:
-            yield chunk
+    def iter_resource(self, resource: str, chunksize: int = 10_000) -> Iterator[pd.DataFrame]:
+        """The rows as pandas frames of chunksize rows; one partition at a time is on the driver."""
+        df = self.table(resource)
+        rows = df.toLocalIterator()
+        while chunk := list(itertools.islice(rows, chunksize)):
+            yield pd.DataFrame([tuple(r) for r in chunk], columns=df.columns)
 
     def keys(self, resource: str) -> tuple[list[str], dict[str, str]]:
         """Declared primary key, and foreign keys by column as 'resource.column'."""
@@ -177,7 +181,7 @@ class Context:
             return []
         from .operators.relate import discover_relationships
 
-        rows = discover_relationships(self._tables).collect()
+        rows = discover_relationships(self.tables()).collect()
         return [Relationship(r.from_resource, r.from_field, r.to_resource, r.to_field, r.relationship_type, r.confidence, r.is_verified) for r in rows]
 
     def get_relationships(self) -> list[Relationship]:
@@ -202,7 +206,7 @@ class Context:
 
     def create_views(self, prefix: str = "") -> None:
         """Each resource as a temporary view."""
-        for name, df in self._tables.items():
+        for name, df in self.tables().items():
             df.createOrReplaceTempView(prefix + name)
 
     def execute_query(self, sql: str, params: list | dict | None = None) -> DataFrame:
@@ -243,5 +247,9 @@ def get_context(key: str) -> Context:
     return _CONTEXTS[key]
 
 
+def forget_context(key: str) -> None:
+    _CONTEXTS.pop(key, None)
+
+
 def clear_registry() -> None:
     _CONTEXTS.clear()

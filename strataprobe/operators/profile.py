@@ -10,6 +10,11 @@ from ..functions.scalars import as_text, col, is_numeric, missing, present
 from .schema import require, slices, union_all
 
 _NUMBERS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+_QUARTILES = (0.25, 0.5, 0.75)
+#: Distinct values of a column, about, up to which one task counts them for exact quartiles.
+EXACT_DISTINCT = 1_000_000
+#: Characters of a value that are shuffled; of longer ones, a digest besides.
+_HEAD = 64
 
 
 def _unpivoted(df: DataFrame, rows: list[list[Column]], names: list[str]) -> DataFrame:
@@ -33,27 +38,62 @@ def numeric_fields(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
 
 
-def numeric_statistics(df: DataFrame, fields: list[str] | None = None, approx: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """field, count, mean, std (of a sample), min, p25, p50, p75, max of numeric columns in one aggregate.
+def _portions(names: list[str], sizes: dict[str, int], most: int, width: int = 25) -> list[list[str]]:
+    """Names in runs of at most width, and of at most most in size together (one name at least)."""
+    out: list[list[str]] = []
+    total = 0
+    for c in names:
+        if not out or len(out[-1]) == width or total + sizes[c] > most:
+            out.append([])
+            total = 0
+        out[-1].append(c)
+        total += sizes[c]
+    return out
 
-    Quartiles are exact with linear interpolation; approx=True takes sketches of
-    bounded size instead.  For exact quartiles of columns of very many distinct
-    values, whose counts would not fit in one task, see distributed_quantiles.
+
+def numeric_statistics(df: DataFrame, fields: list[str] | None = None, approx: bool = False, accuracy: int = 10_000, exact_distinct: int = EXACT_DISTINCT) -> DataFrame:
+    """field, count, mean, std (of a sample), min, p25, p50, p75, max of numeric columns, in one aggregate if they have few values.
+
+    Quartiles are exact with linear interpolation.  One task counts the distinct
+    values of a column, and of several together, where there are at most
+    exact_distinct of one (by an estimate, which tables of no more rows do not
+    need); for the other columns ``distributed_quantiles`` gives the same values.
+    approx=True takes sketches of bounded size instead.
     """
     names = fields or numeric_fields(df)
     require(df, *names)
+    x = {c: present(c, df.schema[c].dataType).cast("double") for c in names}
+    sizes = dict.fromkeys(names, 0)
+    if not approx and names:
+        total = df.count()
+        sizes = dict.fromkeys(names, total)
+        if total > exact_distinct:
+            for part in slices(names):
+                row = df.agg(*[F.approx_count_distinct(x[c]).alias(f"d{i}") for i, c in enumerate(part)]).first()
+                sizes |= {c: row[f"d{i}"] for i, c in enumerate(part)}
+    wide = [c for c in names if not approx and sizes[c] > exact_distinct]
     out = []
-    for part in slices(names, 25):
+    for part in _portions(names, {c: 0 if c in wide else n for c, n in sizes.items()}, 8 * exact_distinct):
         aggs, rows = [], []
         for i, c in enumerate(part):
-            x = present(c, df.schema[c].dataType).cast("double")
-            quartiles = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy) if approx else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"), quartiles.alias(f"q{i}"), F.max(x).alias(f"z{i}")]
-            q = F.col(f"q{i}")
-            rows.append([F.lit(c), F.col(f"n{i}"), F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"a{i}") + F.lit(0.0), q[0], q[1], q[2], F.col(f"z{i}") + F.lit(0.0)])
-        if aggs:
-            out.append(_unpivoted(df.agg(*aggs), rows, ["field", *_NUMBERS]))
-    return union_all(out) if out else df.sparkSession.createDataFrame([], "field string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
+            aggs += [F.count(x[c]).alias(f"n{i}"), F.avg(x[c]).alias(f"m{i}"), F.stddev_samp(x[c]).alias(f"s{i}"), F.min(x[c]).alias(f"a{i}"), F.max(x[c]).alias(f"z{i}")]
+            if c in wide:
+                q = [F.lit(None).cast("double")] * 3
+            else:
+                quartiles = F.percentile_approx(x[c], list(_QUARTILES), accuracy) if approx else F.percentile(x[c], F.array(*map(F.lit, _QUARTILES)))
+                aggs.append(quartiles.alias(f"q{i}"))
+                q = [F.col(f"q{i}")[j] for j in range(3)]
+            rows.append([F.lit(c), F.col(f"n{i}"), F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"a{i}") + F.lit(0.0), *q, F.col(f"z{i}") + F.lit(0.0)])
+        out.append(_unpivoted(df.agg(*aggs), rows, ["field", *_NUMBERS]))
+    if not out:
+        return df.sparkSession.createDataFrame([], "field string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
+    whole = union_all(out)
+    if not wide:
+        return whole
+    found = distributed_quantiles(df, wide, _QUARTILES)
+    found = found.groupBy(F.col("field").alias("wide")).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"w{j}") for j, p in enumerate(_QUARTILES)])
+    joined = whole.join(F.broadcast(found), F.col("field") == F.col("wide"), "left")
+    return joined.select(*[F.coalesce(F.col(n), F.col(f"w{('p25', 'p50', 'p75').index(n)}")).alias(n) if n in ("p25", "p50", "p75") else F.col(n) for n in ("field", *_NUMBERS)])
 
 
 def distributed_quantiles(df: DataFrame, fields: list[str] | None = None, probabilities: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 50_000) -> DataFrame:
@@ -113,18 +153,35 @@ def categorical_statistics(df: DataFrame, fields: list[str] | None = None) -> Da
 
     All columns are counted together: values are spread into (field, value) rows
     and counted map-side first, so a value that fills a column is one row a task.
+    Of long values only the first characters and a digest are shuffled; where one
+    of those is the top, it is fetched by a scan of its own.  Worked out at once,
+    into one row a column.
     """
     names = fields or [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
     require(df, *names)
+    schema = "field string, count bigint, unique bigint, top string, freq bigint"
     if not names:
-        return df.sparkSession.createDataFrame([], "field string, count bigint, unique bigint, top string, freq bigint")
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), as_text(c, df.schema[c].dataType).alias("value")) for c in names]))
-    counted = df.select(pairs.alias("p")).select("p.field", "p.value").groupBy("field", "value").agg(F.count("*").alias("n"))
-    some = F.col("value").isNotNull()
-    rank = F.when(some, F.struct(-F.col("n"), F.col("value").alias("value")))
+        return df.sparkSession.createDataFrame([], schema)
+    text = {c: as_text(c, df.schema[c].dataType) for c in names}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), text[c].alias("value")) for c in names]))
+    cells = df.select(pairs.alias("p")).select("p.field", F.substring("p.value", 1, _HEAD).alias("head"), F.when(F.length("p.value") > _HEAD, F.md5("p.value")).alias("digest"))
+    counted = cells.groupBy("field", "head", "digest").agg(F.count("*").alias("n"))
+    some = F.col("head").isNotNull()
+    rank = F.when(some, F.struct(-F.col("n"), F.col("head").alias("head"), F.col("digest").alias("digest")))
     stats = counted.groupBy("field").agg(F.sum(F.when(some, F.col("n")).otherwise(0)).alias("count"), F.count_if(some).alias("unique"), F.min(rank).alias("r"), F.max(F.when(some, F.col("n"))).alias("freq"))
-    every = df.sparkSession.createDataFrame([(c,) for c in names], "field string")
-    return every.join(stats, "field", "left").select("field", F.coalesce("count", F.lit(0)).cast("long").alias("count"), F.coalesce("unique", F.lit(0)).alias("unique"), F.col("r.value").alias("top"), F.col("freq").cast("long").alias("freq"))
+    found = {r["field"]: r for r in stats.collect()}
+
+    def top(c: str) -> str | None:
+        r = found[c]["r"]
+        if r is None or r["digest"] is None:
+            return r and r["head"]
+        rows = df.select(text[c].alias("value")).where(F.col("value").startswith(F.lit(r["head"])))
+        if found[c]["freq"] > 1:  # else every value is as frequent
+            tied = counted.where((F.col("field") == c) & (F.col("head") == r["head"]) & (F.col("n") == found[c]["freq"])).select("digest")
+            rows = rows.withColumn("digest", F.md5("value")).join(tied, "digest", "left_semi")
+        return rows.agg(F.min("value")).first()[0]
+
+    return df.sparkSession.createDataFrame([(c, found[c]["count"], found[c]["unique"], top(c), found[c]["freq"]) if c in found else (c, 0, 0, None, None) for c in names], schema)
 
 
 def field_statistics(df: DataFrame, approx: bool = False) -> DataFrame:

@@ -58,6 +58,19 @@ def context_overview(context: Context) -> dict:
     return {"name": context.name, "type": context.context_type.value, "is_multi_csv": context.is_multi_csv, "resource_count": len(infos), "resources": resources, "relationships": edges, "relationship_count": len(edges)}
 
 
+@operator("multi_file_overview")
+def multi_file_overview(context: Context) -> dict:
+    """Per resource its place, rows, columns and megabytes, or the error that it gave."""
+    out: dict = {}
+    for resource in context.resources:
+        try:
+            df, size = context.table(resource), context.size_in_bytes(resource)
+            out[resource] = {"file_path": context.get_file_path(resource), "row_count": df.count(), "column_count": len(df.columns), "columns": df.columns, "file_size_mb": round((size or 0) / 1024**2, 2)}
+        except Exception as e:  # noqa: BLE001  a table that cannot be read is part of the answer
+            out[resource] = {"error": f"{type(e).__name__}: {e}"}
+    return out
+
+
 @operator("list_resources")
 def list_resources(context: Context) -> list[str]:
     """Names of the resources."""

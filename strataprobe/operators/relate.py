@@ -20,8 +20,19 @@ NAME_WEIGHT = 0.2
 FOREIGN_KEY_CONFIDENCE = 0.5
 
 
+#: Characters of a value that are shuffled; of longer ones, a digest besides.
+_HEAD = 64
+
+
+def _key(df: DataFrame, name: str) -> Column:
+    """A text that is equal for equal values and never long: of long ones the first characters and a digest."""
+    kind = df.schema[name].dataType
+    value = canonical(name, kind)
+    return F.when(F.length(value) > _HEAD, F.concat(F.substring(value, 1, _HEAD), F.lit("\u2026"), F.md5(value))).otherwise(value) if family(kind) == "text" else value
+
+
 def _values(df: DataFrame, name: str) -> DataFrame:
-    return df.select(canonical(name, df.schema[name].dataType).alias("value"))
+    return df.select(_key(df, name).alias("value"))
 
 
 def column_relationship(a: DataFrame, column_a: str, b: DataFrame, column_b: str) -> DataFrame:
@@ -55,13 +66,21 @@ def column_relationship(a: DataFrame, column_a: str, b: DataFrame, column_b: str
 
 
 def common_values(a: DataFrame, column_a: str, b: DataFrame, column_b: str, limit: int = 10) -> DataFrame:
-    """value: the least distinct values, as text, that both columns have."""
+    """value: the least distinct values, as text, that both columns have.
+
+    Values of more than 64 characters meet by a digest, and are put in order by
+    their first 64 characters; only those that are shown are fetched whole.
+    """
     require(a, column_a)
     require(b, column_b)
     if family(a.schema[column_a].dataType) != family(b.schema[column_b].dataType):
         return _values(a, column_a).limit(0)
     left, right = (_values(df, c).where("value IS NOT NULL").distinct() for df, c in ((a, column_a), (b, column_b)))
-    return left.join(right, "value", "left_semi").orderBy("value").limit(limit)
+    least = left.join(right, "value", "left_semi").orderBy("value").limit(limit)
+    if family(a.schema[column_a].dataType) != "text":
+        return least
+    whole = a.select(_key(a, column_a).alias("key"), canonical(column_a, a.schema[column_a].dataType).alias("value"))
+    return whole.join(F.broadcast(least.withColumnRenamed("value", "key")), "key", "left_semi").select("value").distinct().orderBy("value")
 
 
 def _long(tables: dict[str, DataFrame], columns: dict[str, list[str]], sample_rows: int | None) -> DataFrame:
@@ -74,7 +93,7 @@ def _long(tables: dict[str, DataFrame], columns: dict[str, list[str]], sample_ro
         rows = df.select(*[col(c) for c in wanted])
         if sample_rows:
             rows = rows.orderBy(*[col(c) for c in wanted]).limit(sample_rows)
-        cells = F.array(*[F.struct(F.lit(df.columns.index(c)).alias("c"), F.lit(family(df.schema[c].dataType)).alias("family"), canonical(c, df.schema[c].dataType).alias("value")) for c in wanted])
+        cells = F.array(*[F.struct(F.lit(df.columns.index(c)).alias("c"), F.lit(family(df.schema[c].dataType)).alias("family"), _key(df, c).alias("value")) for c in wanted])
         frames.append(rows.select(F.explode(cells).alias("x")).select(F.lit(t).alias("t"), "x.c", "x.family", "x.value").groupBy("t", "c", "family", "value").agg(F.count("*").alias("n")))
     return reduce(DataFrame.unionByName, frames)
 
@@ -95,6 +114,7 @@ def discover_relationships(tables: dict[str, DataFrame], sample_rows: int | None
     One plan finds all pairs: every candidate column becomes (column, value)
     rows, distinct map-side, and equal values meet in one shuffle, where each
     value yields the candidate pairs of columns that hold it.
+    Samples show long values by their first 64 characters and a digest.
     sample_rows: look only at so many first rows (in the order of the columns).
     """
     spark = next(iter(tables.values())).sparkSession
@@ -128,29 +148,34 @@ def discover_relationships(tables: dict[str, DataFrame], sample_rows: int | None
 JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
 
-def join_tables(a: DataFrame, column_a: str, b: DataFrame, column_b: str, join_type: str = "inner", null_safe: bool = True) -> DataFrame:
+def join_tables(a: DataFrame, column_a: str, b: DataFrame, column_b: str, join_type: str = "inner", null_safe: bool = False) -> DataFrame:
     """Equi-join of two tables; unknown types are inner.
 
     Clashing columns end in _table_a and _table_b; a key of one name is one
-    column.  null_safe: null keys join null keys.  Keys of different type
-    families join nothing.
+    column.  null_safe: null keys join null keys, all with all in one task, so
+    this is for sides of few null keys; ``join_count`` counts such joins of any
+    size.  Keys of different type families join nothing.
     """
     require(a, column_a)
     require(b, column_b)
     how = JOIN_TYPES.get(join_type, "inner")
     clash = {c for c in a.columns if c in b.columns} - ({column_a} if column_a == column_b else set())
-    left = a.select(*[col(c).alias(c + "_table_a" if c in clash else c) for c in a.columns if not (column_a == column_b and c == column_a)], col(column_a).alias("_key_a"))
-    right = b.select(*[col(c).alias(c + "_table_b" if c in clash else c) for c in b.columns if not (column_a == column_b and c == column_b)], col(column_b).alias("_key_b"))
+    own = "_key"
+    while any(c.lower().startswith(own) for c in [*a.columns, *b.columns]):
+        own = "_" + own
+    key_a, key_b = f"{own}_a", f"{own}_b"
+    left = a.select(*[col(c).alias(c + "_table_a" if c in clash else c) for c in a.columns if not (column_a == column_b and c == column_a)], col(column_a).alias(key_a))
+    right = b.select(*[col(c).alias(c + "_table_b" if c in clash else c) for c in b.columns if not (column_a == column_b and c == column_b)], col(column_b).alias(key_b))
     same = family(a.schema[column_a].dataType) == family(b.schema[column_b].dataType)
     condition: Column = F.lit(False)
     if same:
-        condition = F.col("_key_a").eqNullSafe(F.col("_key_b")) if null_safe else F.col("_key_a") == F.col("_key_b")
+        condition = F.col(key_a).eqNullSafe(F.col(key_b)) if null_safe else F.col(key_a) == F.col(key_b)
     joined = left.join(right, condition, how)
     if column_a == column_b:
-        key = F.coalesce(F.col("_key_a"), F.col("_key_b")) if same else F.coalesce(F.col("_key_a").cast("string"), F.col("_key_b").cast("string"))
+        key = F.coalesce(F.col(key_a), F.col(key_b)) if same else F.coalesce(F.col(key_a).cast("string"), F.col(key_b).cast("string"))
         joined = joined.withColumn(column_a, key)
         return joined.select(*[F.col("`" + (c + "_table_a" if c in clash else c).replace("`", "``") + "`") for c in a.columns], *[F.col("`" + (c + "_table_b" if c in clash else c).replace("`", "``") + "`") for c in b.columns if c != column_b])
-    return joined.drop("_key_a", "_key_b")
+    return joined.drop(key_a, key_b)
 
 
 def join_preview(a: DataFrame, column_a: str, b: DataFrame, column_b: str, join_type: str = "inner", preview_rows: int = 5, sample_rows: int | None = 1000, null_safe: bool = True) -> DataFrame:

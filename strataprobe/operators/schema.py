@@ -58,7 +58,7 @@ class Profile:
 
 
 def sample_values(df: DataFrame, n: int = 5, rows: int = 100) -> dict[str, list[str]]:
-    """Up to n values of each column, from the first rows of the table as text; a bounded look for display."""
+    """Up to n values of each column, from the first rows that Spark reads, as text; a bounded look for display, on which nothing is decided."""
     if not df.columns:
         return {}
     found = df.select(*[as_text(f.name, f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]).limit(rows).collect()
@@ -97,6 +97,16 @@ def compare_schemas(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFr
     return rows.join(F.broadcast(marks), "field").join(F.broadcast(rows.groupBy("field").agg(F.count("*").alias("n_tables"))), "field").select(*rows.columns, "possible_id", "possible_date", "n_tables")
 
 
+def schema_profile(spark: SparkSession, tables: dict[str, DataFrame], samples: int = 3) -> DataFrame:
+    """compare_schemas with null_count and sample_values of every column: one pass over each table."""
+    rows = []
+    for name, df in tables.items():
+        found = profile_fields(df, samples)
+        rows += [(name, c, found.nulls[c], found.samples[c]) for c in df.columns]
+    looked = spark.createDataFrame(rows, "resource string, field string, null_count bigint, sample_values array<string>")
+    return compare_schemas(spark, tables).join(F.broadcast(looked), ["resource", "field"])
+
+
 def file_info(df: DataFrame, size_in_bytes: int | None, large: int = 50 * 1024 * 1024) -> dict:
     """Bytes, megabytes, columns, whether it is large, and about how many rows, from the mean width of 100 rows as text."""
     width = F.lit(0)

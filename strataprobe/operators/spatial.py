@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..errors import NoValidValues
 from ..functions.names import suggests_place
 from ..functions.scalars import col, is_numeric, missing, present, to_number
+from ..functions.temporal import text_sample
 from .schema import require, sample_values, slices
 
 # Kinds of well-known text, in the order in which prefixes are tried, and the share of a sample that must be such text.
@@ -42,8 +43,9 @@ def is_wkt(c: Column) -> Column:
 
 
 def wkt_share(df: DataFrame, name: str, sample: int = WKT_SAMPLE) -> float:
-    """Share of the first values of a text column that are well-known text."""
-    got = df.select(col(name).alias("v")).where("v IS NOT NULL").limit(sample).agg(F.avg(is_wkt(F.col("v")).cast("double"))).first()[0]
+    """Share of some values of a text column (the same for the same files) that are well-known text."""
+    texts = text_sample(df, name, sample)
+    got = df.sparkSession.createDataFrame([(t,) for t in texts], "v string").agg(F.avg(is_wkt(F.col("v")).cast("double"))).first()[0]
     return got or 0.0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,14 +10,15 @@ from pyspark.sql import types as T
 from ..errors import NoValidValues
 from ..functions.names import suggests_time
 from ..functions.scalars import as_text, col, is_temporal, missing
-from ..functions.temporal import as_time, format_of
+from ..functions.temporal import as_time, best_format, text_sample
 from .schema import require, sample_values
 
 # Share of a sample that must read as a time, and the sample's size.
 PARSE_SHARE = 0.8
 SAMPLE_ROWS = 100
 _TEMPORAL = "field string, name_suggests_temporal boolean, detected_type string, sample_values array<string>"
-_CELLS = 4096
+#: Cells, of about as many distinct times each, in which a column of times is sorted.
+_CELLS = 1024
 
 
 def detected_type(df: DataFrame, name: str) -> str | None:
@@ -28,12 +30,7 @@ def detected_type(df: DataFrame, name: str) -> str | None:
         return "timedelta64"
     if not isinstance(kind, T.StringType):
         return None
-    texts = [r[0] for r in df.select(F.trim(col(name))).where(col(name).isNotNull()).limit(SAMPLE_ROWS).collect()]
-    found = next((f for f in (format_of(t) for t in texts[:3]) if f), None)
-    if not texts or not found:
-        return None
-    sample = df.sparkSession.createDataFrame([(t,) for t in texts], "v string")
-    read = sample.agg(F.avg(F.try_to_timestamp("v", F.lit(found)).isNotNull().cast("double"))).first()[0]
+    _, read = best_format(df.sparkSession, text_sample(df, name, SAMPLE_ROWS))
     return "datetime_string" if read > PARSE_SHARE else None
 
 
@@ -56,14 +53,17 @@ def median_gap(times: DataFrame) -> DataFrame:
     """median_gap_us of a frame of one column ts: the median difference of successive sorted times, in microseconds.
 
     Equal times are counted map-side (each repeat is a gap of 0).  The time axis
-    is cut into cells; differences within a cell come from a window over the
-    cell, those between cells from the cells' first and last times, so no task
-    sorts the whole column.
+    is cut into cells at approximate quantiles of the distinct times, so that
+    outliers make no cell larger; differences within a cell come from a window
+    over the cell, those between cells from the cells' first and last times, so
+    no task sorts the whole column.  The quantiles are worked out at once.
     """
     micros = times.where("ts IS NOT NULL").select(F.unix_micros("ts").alias("us")).groupBy("us").agg(F.count("*").alias("n"))
-    ends = micros.agg(F.min("us").alias("low"), F.max("us").alias("high"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / F.lit(_CELLS)))
-    placed = micros.join(F.broadcast(ends)).withColumn("cell", F.floor((F.col("us") - F.col("low")) / width).cast("int")).select("us", "n", "cell")
+    cuts = micros.agg(F.percentile_approx("us", [i / _CELLS for i in range(1, _CELLS)], 4 * _CELLS)).first()[0] or []
+    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    placed = micros.withColumn("x", F.col("us").cast("double"))
+    placed = Bucketizer(splits=splits, inputCol="x", outputCol="cell").transform(placed) if len(splits) > 2 else placed.withColumn("cell", F.lit(0.0))
+    placed = placed.select("us", "n", "cell")
     before = F.lag("us").over(Window.partitionBy("cell").orderBy("us"))
     inner = placed.select((F.col("us") - before).alias("gap"), F.lit(1).cast("long").alias("n")).where("gap IS NOT NULL")
     edges = placed.groupBy("cell").agg(F.min("us").alias("first"), F.max("us").alias("last"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from ..catalog import Context, register_new
+from ..catalog import Context, forget_context, register_new
 from .debate import run_step
 from .roles import Topology, effective_pool, topology
 from .standards import load_metadata_standard
@@ -40,7 +40,13 @@ class PlanExecutor:
     def execute(self, plan: Plan) -> ExecutionResult:
         context = self.context
         workspace = {"metadata_standard": load_metadata_standard(self.standard), "_context_key": register_new(context), "_context_info": context.to_dict(), "_schema": {r: context.table(r).columns for r in context.resources}}
-        check_plan(plan.to_dict_list(), context.context_type, pool_of(self.topology, context), workspace)
+        try:
+            return self._execute(plan, workspace)
+        finally:
+            forget_context(workspace["_context_key"])
+
+    def _execute(self, plan: Plan, workspace: dict) -> ExecutionResult:
+        check_plan(plan.to_dict_list(), self.context.context_type, pool_of(self.topology, self.context), workspace)
         done = []
         for task in plan.steps:
             began = time.monotonic()

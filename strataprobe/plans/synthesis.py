@@ -6,7 +6,6 @@ from typing import Protocol
 
 from ..catalog import Context
 from ..operators import spatial, temporal
-from ..operators.relate import discover_relationships  # noqa: F401  part of the synthesis surface
 from .standards import fields_of
 
 _FORMATS = {"single_csv": "CSV", "multi_csv": "CSV", "sqlite": "SQLite", "parquet": "Parquet", "text": "text"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import asdict, dataclass, field
 
 
@@ -25,6 +26,21 @@ class Task:
 class Plan:
     steps: list[Task] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        for place, task, missing in self.unmet_dependencies():
+            logging.getLogger(__name__).warning("step %d (%r) takes artifacts that no step before it gives: %s", place, task, ", ".join(missing))
+
+    def unmet_dependencies(self) -> list[tuple[int, str, list[str]]]:
+        """(place from 0, task, artifacts) of the steps that take what no earlier step gives; a remark, not a fault, as artifacts may be there from the start."""
+        there: set[str] = set()
+        out = []
+        for place, step in enumerate(self.steps):
+            missing = sorted(set((step.inputs or {}).values()) - there)
+            if missing:
+                out.append((place, step.task, missing))
+            there.update(step.outputs or [])
+        return out
+
     def to_dict_list(self) -> list[dict]:
         return [s.to_dict() for s in self.steps]
 

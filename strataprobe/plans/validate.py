@@ -19,7 +19,7 @@ def validate_plan_dataflow(plan: Iterable[dict], initial_artifacts: Iterable[str
     for number, step in enumerate(plan, 1):
         for parameter, artifact in (step.get("inputs") or {}).items():
             if artifact not in there:
-                return False, f"Step {number} ('{step.get('task', '<unknown>')}'): input '{parameter}' needs artifact '{artifact}', which is not produced by any preceding step."
+                return False, f"Step {number} ('{step.get('task', '<unknown>')}'): input '{parameter}' needs artifact '{artifact}', but no earlier step leaves it."
         there.update(step.get("outputs") or [])
     return True, "Plan dataflow is valid."
 

@@ -5,17 +5,21 @@ Each query takes (spark, sf_dir) and runs an operator over whole tables.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.names import DATE_PARTS, SPATIAL, TEMPORAL
+from .catalog import Context
+from .functions.names import SPATIAL, TEMPORAL
 from .operators import profile, relate, schema, spatial, temporal
 from .operators.registry import run as run_operator
 from .plans.executor import execute_plan
 from .plans.standards import record_frame
 from .plans.synthesis import synthesise
+from .session import shared_dir
+from .sources import create_context
 from .sources.parquet import ParquetContext
 from .streaming import profile as streaming
 
@@ -139,9 +143,17 @@ COLUMNS = {
     "labels": ("doc_id", "quality", "toxic"),
     "conversations": ("conv_id", "turn", "role", "text"),
 }
-_CATALOG = "(VALUES " + ", ".join(f"('{t}', {i}, '{c}')" for t, cs in COLUMNS.items() for i, c in enumerate(cs)) + ") AS cat(resource, ordinal, field)"
+# The SQL takes names and types from DuckDB's own description of the tables, and has copies of its own of the rules by name.
+_CATALOG = "(" + " UNION ALL ".join(f"SELECT '{t}' AS resource, row_number() OVER () - 1 AS ordinal, column_name AS field, column_type AS kind FROM (DESCRIBE {t})" for t in TABLES) + ") AS cat"
+_TIME_NAMES = "date|time|timestamp|datetime|created|updated|modified|start|end|begin|expire|valid|year|month|day|hour|minute|second|period|duration|_at$|_on$|_dt$"
+_PLACE_NAMES = (
+    "lat(itude)?|lon(g(itude)?)?|coord|geo|location|position|point|polygon|geometry|geom|wkt|wkb|x_?coord|y_?coord|easting|northing|spatial|place|address|city|state|country|zip|postal|region|bbox|bounds|extent"
+)
 
-query("table_overview", union([f"SELECT '{t}' AS resource, count(*) AS item_count, {len(cs)} AS field_count, '{', '.join(cs)}' AS columns FROM {t}" for t, cs in COLUMNS.items()]))(
+query(
+    "table_overview",
+    union([f"SELECT '{t}' AS resource, (SELECT count(*) FROM {t}) AS item_count, CAST(count(*) AS INTEGER) AS field_count, string_agg(field, ', ' ORDER BY ordinal) AS columns FROM {_CATALOG} WHERE resource = '{t}'" for t in TABLES]),
+)(
     lambda spark, d: schema.table_overview(tables(spark, d)).withColumn("columns", F.concat_ws(", ", "columns"))
 )
 query("schema_catalog", f"SELECT resource, CAST(ordinal AS INTEGER) AS ordinal, field FROM {_CATALOG}")(lambda spark, d: schema.schema_rows(spark, tables(spark, d)).select("resource", "ordinal", "field"))
@@ -150,13 +162,25 @@ query("common_columns", f"SELECT lower(trim(field)) AS column_name, count(DISTIN
 )
 query(
     "compare_schemas",
-    f"SELECT resource, CAST(ordinal AS INTEGER) AS ordinal, field, lower(field) LIKE '%id' AS possible_id, regexp_matches(lower(field), '{'|'.join(DATE_PARTS)}') AS possible_date, count(*) OVER (PARTITION BY field) AS n_tables FROM {_CATALOG}",
+    f"SELECT resource, CAST(ordinal AS INTEGER) AS ordinal, field, lower(field) LIKE '%id' AS possible_id, regexp_matches(lower(field), 'date|time|created|updated|timestamp') AS possible_date, count(*) OVER (PARTITION BY field) AS n_tables FROM {_CATALOG}",
 )(lambda spark, d: schema.compare_schemas(spark, tables(spark, d)).select("resource", "ordinal", "field", "possible_id", "possible_date", "n_tables"))
 query(
     "name_suggestions",
-    f"SELECT resource, field, regexp_matches(lower(field), '{TEMPORAL}') AS name_suggests_temporal, regexp_matches(lower(field), '{SPATIAL}') AS name_suggests_spatial FROM {_CATALOG}",
+    f"SELECT resource, field, regexp_matches(lower(field), '{_TIME_NAMES}') AS name_suggests_temporal, regexp_matches(lower(field), '{_PLACE_NAMES}') AS name_suggests_spatial FROM {_CATALOG}",
 )(lambda spark, d: schema.schema_rows(spark, tables(spark, d)).select("resource", "field", F.lower("field").rlike(TEMPORAL).alias("name_suggests_temporal"), F.lower("field").rlike(SPATIAL).alias("name_suggests_spatial")))
 
+query(
+    "field_types",
+    f"SELECT resource, CAST(ordinal AS INTEGER) AS ordinal, field, CASE kind WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'SMALLINT' THEN 'smallint' WHEN 'TINYINT' THEN 'tinyint' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'VARCHAR' THEN 'string' "
+    f"WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' ELSE kind END AS dtype, "
+    f"CASE WHEN kind IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') THEN 'int64' WHEN kind IN ('DOUBLE', 'FLOAT') THEN 'float64' WHEN kind = 'BOOLEAN' THEN 'bool' WHEN kind = 'DATE' OR kind LIKE 'TIMESTAMP%' THEN 'datetime64[ns]' ELSE 'object' END AS pandas_like_dtype FROM {_CATALOG}",
+)(lambda spark, d: schema.schema_rows(spark, tables(spark, d)).drop("nullable"))
+_PROFILED = ("nation", "orders", "documents")
+query(
+    "schema_profile",
+    "WITH nulls AS (" + union([f"SELECT '{t}' AS resource, '{c}' AS field, count(*) - count({c}) AS null_count FROM {t}" for t in _PROFILED for c in COLUMNS[t]]) + f") SELECT n.resource, n.field, ordinal, null_count, lower(n.field) LIKE '%id' AS possible_id FROM nulls n JOIN {_CATALOG} USING (resource, field)",
+)(lambda spark, d: schema.schema_profile(spark, tables(spark, d, _PROFILED)).select("resource", "field", F.col("ordinal").cast("long").alias("ordinal"), "null_count", "possible_id"))
+
 for _t in ("orders", "events", "documents", "lineitem", "embeddings"):
     query(f"missing_values_{_t}", union([f"SELECT '{c}' AS field, count(*) - count({c}) AS null_count FROM {_t}" for c in COLUMNS[_t]]))(lambda spark, d, t=_t: profile.missing_values(table(spark, d, t)))
 
@@ -201,8 +225,11 @@ for _how, _sql in _JOINS.items():
     query(f"join_count_{_how}_orders_customer", f"SELECT count(*) AS row_count FROM orders {_sql} customer ON o_custkey IS NOT DISTINCT FROM c_custkey")(
         lambda spark, d, how=_how: relate.join_count(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer"), "c_custkey", how).select(F.col("row_count").cast("long").alias("row_count"))
     )
-    query(f"join_tables_{_how}_documents_labels", f"SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, source, n_chars, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic FROM documents d {_sql} labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id")(
-        lambda spark, d, how=_how: relate.join_tables(table(spark, d, "documents"), "doc_id", table(spark, d, "labels"), "doc_id", how).drop("text").withColumns({c: F.col(c).cast("string") for c in ("quality", "toxic")})
+    query(f"join_tables_{_how}_documents_labels", f"SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, md5(text) AS text_md5, lang, source, n_chars, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic FROM documents d {_sql} labels l ON d.doc_id = l.doc_id")(
+        lambda spark, d, how=_how: relate.join_tables(table(spark, d, "documents"), "doc_id", table(spark, d, "labels"), "doc_id", how).withColumns({"text_md5": F.md5("text"), **{c: F.col(c).cast("string") for c in ("quality", "toxic")}}).drop("text")
+    )
+    query(f"join_preview_{_how}_supplier_customer", f"SELECT s_suppkey, s_name, s_nationkey, s_acctbal, c_custkey, c_name FROM (SELECT * FROM supplier WHERE s_suppkey < 20) s {_sql} (SELECT * FROM customer WHERE c_custkey < 12) c ON s_suppkey = c_custkey ORDER BY s_suppkey NULLS FIRST, c_custkey NULLS FIRST LIMIT 30")(
+        lambda spark, d, how=_how: relate.join_preview(table(spark, d, "supplier").where("s_suppkey < 20"), "s_suppkey", table(spark, d, "customer").where("c_custkey < 12"), "c_custkey", how, 30, None).select("s_suppkey", "s_name", "s_nationkey", "s_acctbal", "c_custkey", "c_name")
     )
 query("join_preview_orders_customer", "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 5")(
     lambda spark, d: relate.join_preview(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer"), "c_custkey", "inner", 5, None).select("o_orderkey", "o_custkey", "c_custkey", "c_name")
@@ -210,8 +237,11 @@ query("join_preview_orders_customer", "SELECT o_orderkey, o_custkey, c_custkey,
 
 
 def _discovery_sql() -> str:
-    """Every pair that the name rule admits, from the same catalog; values compared as the operator does."""
-    from .functions.names import names_match
+    """Every pair that the name rule admits, by a copy of the rule; values compared as the operator does."""
+
+    def names_match(x: str, y: str) -> bool:
+        x, y = (c.lower().replace("_", "").replace("-", "") for c in (x, y))
+        return x in y or y in x or (x[-2:] == y[-2:] == "id" and x[:-2] == y[:-2])
 
     numbers = {"r_regionkey", "n_nationkey", "n_regionkey", "c_custkey", "c_nationkey", "c_acctbal", "s_suppkey", "s_nationkey", "s_acctbal", "p_partkey", "p_size", "p_retailprice", "o_orderkey", "o_custkey", "o_totalprice", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "event_id", "user_id", "value", "doc_id", "n_chars", "vec_id", "label", "page_id", "item_id", "quality", "toxic", "conv_id", "turn"}
     kind = lambda c: "number" if c in numbers else "time" if c in _TIMES else "nested" if c == "embedding" else "text"
@@ -255,8 +285,44 @@ for _part in ("year", "month"):
     query(f"records_by_{_part}_orders", f"SELECT CAST({_part}(o_orderdate) AS BIGINT) AS {_part}, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1")(
         lambda spark, d, part=_part: temporal.records_by(table(spark, d, "orders"), "o_orderdate", part).withColumn(part, F.col(part).cast("long"))
     )
-query("temporal_columns_orders", "SELECT 'o_orderdate' AS field, true AS name_suggests_temporal, 'datetime64' AS detected_type")(lambda spark, d: temporal.detect_temporal_columns(table(spark, d, "orders")).drop("sample_values"))
-query("temporal_columns_events", "SELECT 'ts' AS field, false AS name_suggests_temporal, 'datetime64' AS detected_type")(lambda spark, d: temporal.detect_temporal_columns(table(spark, d, "events")).drop("sample_values"))
+
+
+def _time_columns_sql(t: str) -> str:
+    return (
+        f"SELECT field, name_suggests_temporal, detected_type FROM (SELECT field, regexp_matches(lower(field), '{_TIME_NAMES}') AS name_suggests_temporal, CASE WHEN kind = 'DATE' OR kind LIKE 'TIMESTAMP%' THEN 'datetime64' END AS detected_type "
+        f"FROM {_CATALOG} WHERE resource = '{t}') WHERE name_suggests_temporal OR detected_type IS NOT NULL"
+    )
+
+
+query("temporal_columns_orders", _time_columns_sql("orders"))(lambda spark, d: temporal.detect_temporal_columns(table(spark, d, "orders")).drop("sample_values"))
+query("temporal_columns_events", _time_columns_sql("events"))(lambda spark, d: temporal.detect_temporal_columns(table(spark, d, "events")).drop("sample_values"))
+
+
+# Dates as text, day first, with junk in every seventh and eleventh row.
+_DATED = "(SELECT CASE WHEN o_orderkey % 7 = 0 THEN '-' WHEN o_orderkey % 11 = 0 THEN ' n/a' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS written, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 11 > 0 THEN CAST(strftime(o_orderdate, '%Y-%m-%d') AS TIMESTAMP) END AS ts, o_orderkey FROM orders)"
+
+
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return table(spark, d, "orders").select(F.when(key % 7 == 0, "-").when(key % 11 == 0, " n/a").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("written"), key)
+
+
+query(
+    "temporal_extent_text",
+    f"SELECT count(*) AS total_records, count(ts) AS valid_timestamps, count(*) - count(ts) AS null_timestamps, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS end_ts, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0) AS BIGINT) AS duration_days FROM {_DATED}",
+)(lambda spark, d: _stamped(temporal.temporal_extent(_dated(spark, d), "written"), "start_ts", "end_ts"))
+query(
+    "temporal_column_text",
+    f"WITH g AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS gap FROM {_DATED} WHERE ts IS NOT NULL) SELECT 'written' AS field, count(*) AS total, count(*) - count(written) AS null_count, round_even(count(ts)::DOUBLE / count(*), 4) AS parse_success_rate, (SELECT median(gap)::DOUBLE FROM g) AS median_gap_us, 'none/naive' AS timezone FROM {_DATED}",
+)(lambda spark, d: temporal.analyze_temporal_column(_dated(spark, d), "written").select("field", "total", "null_count", "parse_success_rate", "median_gap_us", "timezone"))
+for _part in ("year", "month"):
+    query(f"records_by_{_part}_text", f"SELECT CAST({_part}(ts) AS BIGINT) AS {_part}, count(*) AS n FROM {_DATED} WHERE ts IS NOT NULL GROUP BY 1")(
+        lambda spark, d, part=_part: temporal.records_by(_dated(spark, d), "written", part).withColumn(part, F.col(part).cast("long"))
+    )
+# nine tenths of the rows read as dates, and nothing of the other columns does
+query("temporal_columns_text", f"SELECT 'written' AS field, false AS name_suggests_temporal, CASE WHEN count(ts) / count(*) > 0.8 THEN 'datetime_string' END AS detected_type FROM {_DATED} WHERE o_orderkey % 7 > 0")(
+    lambda spark, d: temporal.detect_temporal_columns(_dated(spark, d).where("o_orderkey % 7 > 0").select("written", F.lit("no date").alias("remark"))).drop("sample_values")
+)
 
 
 def _range_sql(t: str, c: str) -> str:
@@ -278,6 +344,29 @@ query(
     "spatial_column_events",
     "SELECT 'value' AS field, count(*) AS total, count(*) - count(value) AS null_count, round(min(value), 4) + 0.0 AS min, round(max(value), 4) + 0.0 AS max, round(avg(value), 4) + 0.0 AS mean, CASE WHEN min(value) >= -90 AND max(value) <= 90 THEN 'latitude' WHEN min(value) >= -180 AND max(value) <= 180 THEN 'longitude' ELSE 'projected_or_other' END AS coordinate_hint FROM events",
 )(lambda spark, d: rounded(spatial.analyze_spatial_column(table(spark, d, "events"), "value"), "min", "max", "mean").select("field", "total", "null_count", "min", "max", "mean", "coordinate_hint"))
+_SPATIAL_SQL = (
+    "SELECT field, regexp_matches(lower(field), '" + _PLACE_NAMES + "') AS name_suggests_spatial, detected_type FROM ({ranges}) UNION ALL SELECT field, true, NULL FROM " + _CATALOG + " WHERE resource = '{t}' AND kind = 'VARCHAR' AND regexp_matches(lower(field), '" + _PLACE_NAMES + "')"
+)
+for _t in ("part", "lineitem"):
+    query(f"spatial_columns_{_t}", "SELECT * FROM (" + _SPATIAL_SQL.format(t=_t, ranges=union([_range_sql(_t, c) for c in NUMERIC[_t]])) + ") WHERE name_suggests_spatial OR detected_type IS NOT NULL")(
+        lambda spark, d, t=_t: spatial.detect_spatial_columns(table(spark, d, t)).drop("sample_values")
+    )
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with a point on the globe, in numbers and as text."""
+    key = F.col("c_custkey")
+    lat, lon = (key % 180 - 90).cast("double"), (key % 360 - 180).cast("double")
+    return table(spark, d, "customer").select((key + 1000).alias("c_key"), lon.alias("x_coord"), lat.alias("y_coord"), F.format_string("POINT(%s %s)", lon, lat).alias("shape"))
+
+
+query("coordinate_pairs_customer", "SELECT CASE WHEN min(c_custkey % 180 - 90) >= -90 AND max(c_custkey % 180 - 90) <= 90 THEN 'y_coord' END AS latitude, CASE WHEN min(c_custkey % 360 - 180) < -90 THEN 'x_coord' END AS longitude FROM customer")(
+    lambda spark, d: spatial.coordinate_pairs(spatial.detect_spatial_columns(_placed(spark, d)), ["c_key", "x_coord", "y_coord", "shape"])
+)
+query(
+    "wkt_columns_customer",
+    "SELECT 'shape' AS field, count(*) AS total, 0::BIGINT AS null_count, 'WKT' AS format, count(*) FILTER (WHERE 'POINT(' || (c_custkey % 360 - 180) || ' ' || (c_custkey % 180 - 90) || ')' LIKE 'POINT(%') AS points FROM customer",
+)(lambda spark, d: spatial.analyze_spatial_column(_placed(spark, d), "shape").select("field", "total", "null_count", "format", F.col("wkt_types")["POINT"].alias("points")))
 query("wkt_types_events", "SELECT CASE WHEN user_id % 3 = 0 THEN 'POINT' WHEN user_id % 3 = 1 THEN 'LINESTRING' ELSE 'MULTIPOLYGON' END AS wkt_type, count(*) AS n FROM events GROUP BY 1")(
     lambda spark, d: spatial.wkt_types(
         table(spark, d, "events").select(F.when(F.col("user_id") % 3 == 0, F.format_string("Point (%s 1)", F.col("value").cast("string"))).when(F.col("user_id") % 3 == 1, F.lit(" LINESTRING(0 0, 1 1)")).otherwise(F.lit("multipolygon(((0 0, 1 1, 1 0, 0 0)))")).alias("g")), "g"
@@ -287,6 +376,65 @@ _SQL = "SELECT c_mktsegment, count(*) AS n_orders, round(sum(o_totalprice), 2) A
 query("sql_passthrough", _SQL)(lambda spark, d: context(spark, d, ("orders", "customer")).execute_query(_SQL))
 
 
+
+
+def _written(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the session shares."""
+    import uuid
+
+    return f"{shared_dir(spark)}/strataprobe-{uuid.uuid4().hex}/{name}"
+
+
+def _delimited(spark: SparkSession, d: str, name: str, mark: str, extension: str = "csv") -> Context:
+    """A table written as delimited text in several files, and read back as a context by its URI."""
+    path = _written(spark, f"{name}.{extension}")
+    table(spark, d, name).repartition(3).write.csv(path, sep=mark, header=True, quote='"', escape='"')
+    return create_context(spark, path if "://" in path or path.startswith("file:") else f"file:{path}", pattern="*.csv")
+
+
+query("csv_customer", "SELECT * FROM customer")(lambda spark, d: _delimited_union(spark, d, "customer", ";"))
+query("tsv_supplier", "SELECT * FROM supplier")(lambda spark, d: _delimited_union(spark, d, "supplier", "\t"))
+# texts with quotes, delimiters and line ends in them
+query("csv_benchmark", "SELECT item_id, md5(text) AS text_md5 FROM benchmark")(lambda spark, d: _delimited_union(spark, d, "benchmark", ",").select("item_id", F.md5("text").alias("text_md5")))
+query("csv_field_types_orders", "SELECT CAST(ordinal AS INTEGER) AS ordinal, field, CASE WHEN kind IN ('BIGINT', 'INTEGER') THEN 'bigint' WHEN kind = 'DOUBLE' THEN 'double' ELSE 'string' END AS dtype FROM " + _CATALOG + " WHERE resource = 'orders'")(
+    lambda spark, d: schema.schema_rows(spark, {"orders": _delimited_union(spark, d, "orders", "|")}).select("ordinal", "field", "dtype")
+)
+
+
+def _delimited_union(spark: SparkSession, d: str, name: str, mark: str) -> DataFrame:
+    """All files of the context: each is a resource of its own."""
+    context = _delimited(spark, d, name, mark)
+    return schema.union_all(list(context.tables().values()))
+
+
+def _sqlite(spark: SparkSession, d: str) -> Context:
+    """Nations, regions and suppliers in a SQLite file, with declared keys; a mark without a type holds numbers and texts."""
+    import os
+    import sqlite3
+
+    path = _written(spark, "geo.db").removeprefix("file:")
+    os.makedirs(os.path.dirname(path))
+    with contextlib.closing(sqlite3.connect(path)) as db, db:
+        db.execute("CREATE TABLE region(r_regionkey INTEGER PRIMARY KEY, r_name TEXT)")
+        db.execute("CREATE TABLE nation(n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER REFERENCES region(r_regionkey), mark)")
+        db.execute("CREATE TABLE supplier(s_suppkey INTEGER PRIMARY KEY, s_name TEXT, s_nationkey INTEGER REFERENCES nation, s_acctbal REAL)")
+        for name, wide in (("region", 2), ("nation", 3), ("supplier", 4)):
+            rows = (tuple(r) if name != "nation" else (*r, r[0] % 5 if r[0] % 2 else str(r[0] % 5)) for r in table(spark, d, name).toLocalIterator())
+            db.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * (wide + (name == 'nation')))})", rows)
+    return create_context(spark, path)
+
+
+query("sqlite_supplier", "SELECT * FROM supplier WHERE s_acctbal > 1000 AND s_nationkey <= 12")(lambda spark, d: _sqlite(spark, d).table("supplier").where("s_acctbal > 1000 AND s_nationkey <= 12"))
+# numbers and texts of a column without a type are equal once they are read
+query("sqlite_untyped", "SELECT n_nationkey, n_name, CAST(n_nationkey % 5 AS VARCHAR) AS mark FROM nation WHERE n_nationkey % 5 = 3")(lambda spark, d: _sqlite(spark, d).read_resource("nation", ["n_nationkey", "n_name", "mark"]).where("mark = '3'"))
+query("sqlite_native_sql", "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")(lambda spark, d: _sqlite(spark, d).execute_native("SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"))
+query(
+    "sqlite_foreign_keys",
+    "SELECT 'nation' AS from_resource, f.field AS from_field, t.resource AS to_resource, t.field AS to_field FROM " + _CATALOG.replace("AS cat", "AS f") + " JOIN " + _CATALOG.replace("AS cat", "AS t") + " ON f.resource = 'nation' AND t.resource = 'region' AND f.field = 'n_' || substr(t.field, 3) AND t.field LIKE '%key' "
+    "UNION ALL SELECT 'supplier', f.field, t.resource, t.field FROM " + _CATALOG.replace("AS cat", "AS f") + " JOIN " + _CATALOG.replace("AS cat", "AS t") + " ON f.resource = 'supplier' AND t.resource = 'nation' AND f.field = 's_' || substr(t.field, 3) AND t.field LIKE '%nationkey'",
+)(lambda spark, d: spark.createDataFrame([(e.from_resource, e.from_field, e.to_resource, e.to_field) for e in _sqlite(spark, d).get_relationships()], "from_resource string, from_field string, to_resource string, to_field string"))
+
+
 @query("streaming_missing_values_events", "SELECT count(*) AS row_count, count(*) - count(event_id) AS event_id_nulls, count(*) - count(value) AS value_nulls FROM events")
 def streaming_missing_values_events(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, "events", lambda s: streaming.running_missing_values(s, ["event_id", "value"]))
@@ -302,7 +450,7 @@ def _streamed(spark: SparkSession, d: str, name: str, make: Callable[[DataFrame]
 
     path, view = f"{d}/{name}.parquet", f"strataprobe_{uuid.uuid4().hex}"
     stream = streaming.read_growing(spark, streaming.stream_path(spark, path), spark.read.parquet(path).schema)
-    running = streaming.start(make(stream), view, f"{streaming.checkpoint_root(spark)}/{view}")
+    running = streaming.start(make(stream), view, f"{shared_dir(spark)}/{view}")
     try:
         running.awaitTermination()
     finally:
@@ -315,6 +463,10 @@ def metadata_record(spark: SparkSession, d: str) -> DataFrame:
     return record_frame(spark, synthesise(context(spark, d, ("orders", "customer", "nation"))))
 
 
-@query("plan_log")
+@query(
+    "plan_log",
+    "SELECT CAST(s AS INTEGER) AS step, t AS task, p AS player, true AS success, NULL::VARCHAR AS error FROM (VALUES (1, 'Survey the resources', 'data_analyst'), (2, 'Describe the schema', 'schema_expert'), (3, 'Profile the columns', 'data_analyst'), "
+    "(4, 'Find relations', 'relationship_analyst'), (5, 'Find time and place', 'spatial_temporal_specialist'), (6, 'Write the record', 'metadata_generator')) AS plan(s, t, p)",
+)
 def plan_log(spark: SparkSession, d: str) -> DataFrame:
     return execute_plan(context(spark, d, ("nation", "region"))).log(spark).select("step", "task", "player", "success", "error")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +23,20 @@ def create_session(name: str = "strataprobe", master: str | None = None, **setti
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a session with a local master sets one of its machine; any
+    other master is an error, as its executors would each use a disk of their own.
+    """
+    key = "spark.checkpoint.dir"
+    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{key} is not set: the executors of {master} need a folder that they all share")
+        found = tempfile.mkdtemp(prefix="strataprobe-")
+        spark.conf.set(key, found)
+    return found.rstrip("/")

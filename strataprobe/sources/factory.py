@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import glob
 import os
 
 from pyspark.sql import SparkSession
 
 from ..catalog import Context, ContextType
-from .delimited import DelimitedContext
+from .delimited import DelimitedContext, files_of, is_uri
 from .parquet import ParquetContext
 from .sqlite import SQLiteContext
 
@@ -46,6 +45,9 @@ def classify_context_type(paths: list[str]) -> ContextType:
 
 
 def _existing(path: str) -> str:
+    """A path of this machine that is there; URIs are looked up when they are read."""
+    if is_uri(path):
+        return path
     path = os.path.expanduser(path)
     if not os.path.exists(path):
         raise FileNotFoundError(path)
@@ -73,11 +75,9 @@ def create_context(spark: SparkSession, source, name: str = "context", pattern:
 
 def _from_path(spark: SparkSession, path: str, name: str, pattern: str, **options) -> Context:
     kind = detect_type_from_extension(path)
-    if "://" in path:
-        return ParquetContext(spark, path, name, **options) if kind is ContextType.PARQUET else DelimitedContext(spark, path, name, **options)
     path = _existing(path)
-    if os.path.isdir(path) and kind is not ContextType.PARQUET:
-        files = sorted(glob.glob(os.path.join(path, pattern)))
+    if kind is ContextType.UNKNOWN and (is_uri(path) or os.path.isdir(path)):
+        files = [f if is_uri(path) else f.removeprefix("file:") for f in files_of(spark, path, pattern)]
         if not files:
             raise FileNotFoundError(f"no {pattern} in {path}")
         return _typed(spark, detect_type_from_extension(files[0]), files, name, **options)

@@ -1,24 +1,31 @@
 """SQLite as a Spark data source, read in ranges of rowid, and as a context.
 
 The database file must be readable where the tasks run: a folder that all
-executors share, or the driver's own in local mode.
+executors share, or the driver's own in local mode.  Rows come through Python
+one by one and every column that the schema names is read, so this is for files
+of the size that SQLite is used for, not for the bulk of a corpus.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sqlite3
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from ..catalog import Context, ContextType, Relationship
+from ..functions.scalars import col
 
 #: Tables that SQLite keeps for itself.
 INTERNAL = ("sqlite_sequence", "sqlite_stat1")
-_ROWS = 100_000
+#: Rows of a partition, and partitions at most.
+_ROWS, _PARTITIONS = 100_000, 1024
+_NUMBER = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*")
+_LONG = range(-(1 << 63), 1 << 63)
 
 
 def _quoted(name: str) -> str:
@@ -60,34 +67,53 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.path, self.table, self.schema = options["path"], options["dbtable"], schema
         self.rows = int(options.get("rowsperpartition", _ROWS))
+        self.declared = {c[1]: c[2].upper() for c in columns_of(self.path, self.table)}
         self.conditions: list[tuple[str, tuple]] = []
 
     def pushFilters(self, filters):  # noqa: N802
-        """Comparisons go to SQLite as well; Spark checks them again, as types are loose there."""
+        """Conditions that SQLite can test without losing a row go there as well; Spark checks all of them again.
+
+        Values are of any type there, whatever the column's.  A number of a column
+        of numbers compares in SQLite as it does here, and what reads as null here
+        matches no comparison.  Texts are only tested for equality, byte by byte,
+        and stored bytes, which read as text, always pass.  Columns without a type,
+        and tests for null (a value that does not fit reads as null), are left to Spark.
+        """
         signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
         for f in filters:
-            if type(f) in signs and len(f.attribute) == 1 and isinstance(f.value, int | float | str) and not isinstance(f.value, bool):
-                self.conditions.append((f"{_quoted(f.attribute[0])} {signs[type(f)]} ?", (f.value,)))
-            elif isinstance(f, IsNull | IsNotNull) and len(f.attribute) == 1:
-                self.conditions.append((f"{_quoted(f.attribute[0])} IS {'NOT ' * isinstance(f, IsNotNull)}NULL", ()))
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            declared = self.declared.get(name, "")
+            if declared and type(f) in signs and not isinstance(f.value, bool):
+                kind, column = spark_type(declared), _quoted(name)
+                if isinstance(kind, T.LongType | T.DoubleType) and isinstance(f.value, int | float):
+                    self.conditions.append((f"{column} {signs[type(f)]} ?", (f.value,)))
+                elif isinstance(kind, T.StringType) and isinstance(f, EqualTo) and isinstance(f.value, str):
+                    self.conditions.append((f"({column} = ? COLLATE BINARY OR typeof({column}) = 'blob')", (f.value,)))
+            elif declared and isinstance(f, IsNotNull):
+                self.conditions.append((f"{_quoted(name)} IS NOT NULL", ()))
             yield f
 
     def partitions(self) -> list[InputPartition]:
         with connect(self.path) as db:
             try:
-                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+                total = db.execute(f"SELECT count(rowid) FROM {_quoted(self.table)}").fetchone()[0]
+                step = max(self.rows, -(-total // _PARTITIONS), 1)
+                # by counted rows, so that gaps between row numbers make no empty partitions
+                found = db.execute(f"SELECT min(id) FROM (SELECT rowid AS id, (row_number() OVER (ORDER BY rowid) - 1) / ? AS part FROM {_quoted(self.table)}) GROUP BY part ORDER BY part", (step,)).fetchall()
             except sqlite3.OperationalError:  # a table without rowid, or a view
                 return [_Rows(None, None)]
-        if low is None:
-            return [_Rows(0, 0)]
-        return [_Rows(x, min(x + self.rows, high + 1)) for x in range(low, high + 1, self.rows)]
+        lows = [r[0] for r in found]
+        return [_Rows(low, high) for low, high in zip(lows, [*lows[1:], None], strict=True)] if lows else [_Rows(0, 0)]
 
     def read(self, partition: _Rows) -> Iterator[tuple]:
         names = ", ".join(_quoted(f.name) for f in self.schema.fields) or "1"
         where, args = [c for c, _ in self.conditions], [a for _, x in self.conditions for a in x]
         if partition.low is not None:
-            where.append("rowid >= ? AND rowid < ?")
-            args += [partition.low, partition.high]
+            where.append("rowid >= ?")
+            args.append(partition.low)
+        if partition.high is not None:
+            where.append("rowid < ?")
+            args.append(partition.high)
         with connect(self.path) as db:
             for row in db.execute(f"SELECT {names} FROM {_quoted(self.table)}" + " WHERE ".join(["", " AND ".join(where)] if where else [""]), args):
                 yield tuple(_value(v, f.dataType) for v, f in zip(row, self.schema.fields, strict=True))
@@ -97,16 +123,17 @@ def _value(v: object, kind: T.DataType) -> object:
     """A stored value as the column's type; what does not fit is null, as columns hold values of any type."""
     if v is None:
         return None
-    try:
-        if isinstance(kind, T.LongType):
-            return int(v) if not isinstance(v, float) or v == int(v) else None
+    if isinstance(kind, T.LongType | T.DoubleType):
+        if isinstance(v, str):
+            v = float(v) if _NUMBER.fullmatch(v) else None
+        if not isinstance(v, int | float):
+            return None
         if isinstance(kind, T.DoubleType):
             return float(v)
-        if isinstance(kind, T.BinaryType):
-            return bytes(v) if isinstance(v, bytes) else str(v).encode()
-        return v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)
-    except (TypeError, ValueError):
-        return None
+        return int(v) if (isinstance(v, int) or v.is_integer()) and int(v) in _LONG else None
+    if isinstance(kind, T.BinaryType):
+        return bytes(v) if isinstance(v, bytes) else str(v).encode()
+    return v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)
 
 
 class SQLiteDataSource(DataSource):
@@ -136,7 +163,7 @@ class SQLiteContext(Context):
     """The tables of a SQLite file, with its declared keys."""
 
     def __init__(self, spark: SparkSession, db_path: str, name: str = "context", description: str | None = None, exclude_resources: list[str] | None = None):
-        self.db_path = os.path.abspath(os.path.expanduser(db_path))
+        self.db_path = os.path.abspath(os.path.expanduser(re.sub("^file:(//(?=/))?", "", db_path)))
         hidden = {*INTERNAL, *(exclude_resources or [])}
         with connect(self.db_path) as db:
             names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
@@ -149,7 +176,7 @@ class SQLiteContext(Context):
     def read_resource(self, resource: str, fields: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """Some columns in the order asked for, and at most limit rows; empty and 0 mean all."""
         df = self.table(resource)
-        df = df.select(*fields) if fields else df
+        df = df.select(*[col(c) for c in fields]) if fields else df
         return df.limit(limit) if limit else df
 
     def declared_type(self, resource: str, name: str) -> str | None:

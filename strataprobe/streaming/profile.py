@@ -41,13 +41,3 @@ def stream_path(spark: SparkSession, path: str) -> str:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return f"{path[:-1]}[{path[-1]}]" if fs.getFileStatus(where).isFile() else path
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The session's shared folder, or one of this machine's where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="strataprobe-")
-    return found.rstrip("/")

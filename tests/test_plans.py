@@ -24,7 +24,7 @@ def test_chain():
 
 def test_missing_input():
     ok, message = validate_plan_dataflow([step("a", {"p": "ghost"})])
-    assert not ok and "'ghost'" in message and "not produced by any preceding step" in message
+    assert not ok and "'ghost'" in message and "no earlier step leaves it" in message
 
 
 def test_producer_after_consumer():
@@ -154,3 +154,9 @@ def test_generators():
     assert ContentGenerator(N(models=N(generate_content=lambda **kw: N(text="ok"))), "m").generate("q") == "ok"
     with pytest.raises(ValueError):
         create_generator("nobody", "m", "k")
+
+
+def test_unmet_dependencies_are_remarks(caplog):
+    with caplog.at_level("WARNING"):
+        plan = Plan([Task("a", outputs=["x"]), Task("b", inputs={"p": "x", "q": "ghost", "r": "later"}), Task("c", outputs=["later"])])
+    assert plan.unmet_dependencies() == [(1, "b", ["ghost", "later"])] and "ghost" in caplog.text

@@ -122,3 +122,24 @@ def test_distributed_quantiles_are_exact(spark, sf_dir):
             got[r.field, r.p] = r.value
         assert got == pytest.approx({(f, p): v for f, own in want.items() for p, v in zip((0.25, 0.5, 0.75), own, strict=True)})
     assert profile.distributed_quantiles(df.limit(0)).count() == 0
+
+
+def test_wide_columns_get_the_same_quartiles(spark):
+    """Beyond the bound of distinct values the quartiles come from brackets, and are the same."""
+    import random
+
+    r = random.Random(1)
+    df = spark.createDataFrame([(r.random(), i % 5) for i in range(800)], "x double, y long")
+    want = [tuple(x) for x in profile.numeric_statistics(df).orderBy("field").collect()]
+    got = [tuple(x) for x in profile.numeric_statistics(df, exact_distinct=50).orderBy("field").collect()]
+    assert [w[0] for w in got] == [w[0] for w in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[1:] == pytest.approx(b[1:])
+
+
+def test_top_of_long_values(spark):
+    """Long values that share their first characters: the most frequent, and of tied ones the least, is fetched whole."""
+    head = "h" * 70
+    rows = [(head + "b", head + "z"), (head + "a", head + "y"), (head + "b", head + "x"), ("short", None), (head + "a", head + "w")]
+    got = {r.field: (r["count"], r.unique, r.top, r.freq) for r in profile.categorical_statistics(spark.createDataFrame(rows, "s string, t string")).collect()}
+    assert got == {"s": (5, 3, head + "a", 2), "t": (4, 4, head + "w", 1)}

@@ -105,3 +105,32 @@ def test_sql(tmp_path, spark):
     ctx = create_context(spark, write(tmp_path / "a.csv", "x,y\n1,a\n2,b\n"))
     assert [r.y for r in ctx.execute_query("SELECT y FROM a WHERE x = ?", [2]).collect()] == ["b"]
     assert "x BIGINT" in ctx.get_resource_ddl("a")
+
+
+def test_uris_folders_and_quoted_newlines(tmp_path, spark):
+    write(tmp_path / "a.csv", 'x;t\n1;"one\nline"\n2;"two ""q"""\n')
+    df = read_delimited(spark, f"file://{tmp_path}/a.csv")
+    assert [(r.x, r.t) for r in df.orderBy("x").collect()] == [(1, "one\nline"), (2, 'two "q"')]
+    ctx = create_context(spark, f"file://{tmp_path}")
+    assert ctx.resources == ["a"] and ctx.get_delimiter("a") == ";" and ctx.table().count() == 2
+    with pytest.raises(FileNotFoundError):
+        create_context(spark, f"file://{tmp_path}/gone")
+
+
+def test_files_are_read_in_splits(tmp_path, spark):
+    path = write(tmp_path / "big.csv", "x,y\n" + "".join(f"{i},b\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        df = read_delimited(spark, path)
+        assert df.rdd.getNumPartitions() > 2 and df.agg({"x": "sum"}).first()[0] == sum(range(20_000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_overview_shows_errors_in_place(tmp_path, spark):
+    from strataprobe.operators.registry import run
+
+    ctx = create_context(spark, {"a": write(tmp_path / "a.csv", "x\n1\n"), "b": write(tmp_path / "b.csv", "y\n1\n2\n")})
+    os.remove(tmp_path / "b.csv")
+    found = run("multi_file_overview", ctx)
+    assert (found["a"]["row_count"], found["a"]["columns"]) == (1, ["x"]) and set(found["b"]) == {"error"}

@@ -57,9 +57,24 @@ def test_partitions_cover_all_rows(spark, tmp_path):
         db.execute("CREATE TABLE t(id INTEGER PRIMARY KEY, v INT)")
         db.executemany("INSERT INTO t VALUES (?, ?)", [(i * 3, i) for i in range(1000)])
     df = read_sqlite(spark, path, "t", rows_per_partition=500)
-    assert df.rdd.getNumPartitions() == 6 and df.agg({"v": "sum"}).first()[0] == sum(range(1000))
+    assert df.rdd.getNumPartitions() == 2 and df.agg({"v": "sum"}).first()[0] == sum(range(1000))
 
 
 def test_missing_file(spark):
     with pytest.raises(FileNotFoundError):
         create_context(spark, "/nowhere/x.db")
+
+
+def test_pushed_conditions_lose_no_row(spark, tmp_path):
+    """Values of other types than their column's: what SQLite is asked agrees with what Spark sees."""
+    from strataprobe.sources.sqlite import read_sqlite
+
+    path = str(tmp_path / "loose.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t(a, n INTEGER, x NUMERIC, s TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [(5, 5, "-inf", "b"), ("5", "five", 3, b"b"), (None, None, None, None), (5.0, 2**62, "1_0", "B"), (b"5", 7, -1e300, "5")])
+    df = read_sqlite(spark, path, "t")
+    whole = spark.createDataFrame(df.collect(), df.schema)
+    for test in ("a = '5'", "n >= 5", "n < 6", "n IS NULL", "n IS NOT NULL", "x < 0", "x > 2", "x IS NULL", "s = 'b'", "s > 'A'", "s = '5'", "a IS NULL"):
+        assert df.where(test).count() == whole.where(test).count(), test
+    assert df.where("a = '5'").count() == 3 and df.where("n IS NULL").count() == 2

@@ -81,3 +81,21 @@ def test_detection_and_records(spark):
     assert temporal.records_by(df.limit(1), "ts").count() == 0
     empty = temporal.temporal_extent(df.limit(0), "ts").first()
     assert empty.total_records == 0 and empty.start_ts is None
+
+
+def test_one_unreadable_value_costs_only_itself(spark):
+    rows = [f"2024-03-{i:02d}" for i in range(1, 9)] + ["-"]
+    df = spark.createDataFrame([(r,) for r in rows], "d string")
+    assert temporal.temporal_extent(df, "d").first().valid_timestamps == 8
+    assert {(r.month, r.n) for r in temporal.records_by(df, "d", "month").collect()} == {(3, 8)}
+
+
+def test_outliers_leave_the_cells_even(spark):
+    """Two times far out put no more than their share of the others in one cell."""
+    import statistics
+
+    us = [i * 7_000_000 for i in range(3000)]
+    times_ = [dt.datetime(1, 1, 2), *[START + dt.timedelta(microseconds=u) for u in us], dt.datetime(9999, 12, 30)]
+    df = times(spark, *times_)
+    gaps = [(b - a) / dt.timedelta(microseconds=1) for a, b in zip(times_, times_[1:], strict=False)]
+    assert temporal.median_gap(df).first().median_gap_us == statistics.median(gaps)
