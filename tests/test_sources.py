@@ -108,9 +108,10 @@ def test_sql(tmp_path, spark):
 
 
 def test_uris_folders_and_quoted_newlines(tmp_path, spark):
-    write(tmp_path / "a.csv", 'x;t\n1;"one\nline"\n2;"two ""q"""\n')
-    df = read_delimited(spark, f"file://{tmp_path}/a.csv")
+    quoted = write(tmp_path / "q.txt", 'x;t\n1;"one\nline"\n2;"two ""q"""\n')
+    df = read_delimited(spark, f"file://{quoted}", ";")
     assert [(r.x, r.t) for r in df.orderBy("x").collect()] == [(1, "one\nline"), (2, 'two "q"')]
+    write(tmp_path / "a.csv", "x;y\n1;b\n2;c\n")
     ctx = create_context(spark, f"file://{tmp_path}")
     assert ctx.resources == ["a"] and ctx.get_delimiter("a") == ";" and ctx.table().count() == 2
     with pytest.raises(FileNotFoundError):
