@@ -72,6 +72,13 @@ def coordinate_pairs(spatial: DataFrame, order: list[str]) -> DataFrame:
     return both.where("latitude IS NOT NULL AND longitude IS NOT NULL")
 
 
+def named_pair(df: DataFrame) -> tuple[str, str] | None:
+    """Latitude and longitude of a table, of the columns in range whose names speak of them: any small number is in range."""
+    named = detect_spatial_columns(df, 0).where("lower(field) RLIKE 'lat|lon' AND detected_type LIKE 'possible%'")
+    pair = coordinate_pairs(named, df.columns).first()
+    return (pair.latitude, pair.longitude) if pair and pair.latitude != pair.longitude else None
+
+
 def wkt_types(df: DataFrame, name: str, sample: int | None = None) -> DataFrame:
     """wkt_type, n: values by the kind with which they begin; collections of geometries are not counted."""
     require(df, name)

@@ -63,9 +63,9 @@ class PlanExecutor:
         if any(name in FINAL_NAMES for name in task.outputs):
             record = synthesise(self.context, self.standard, None, self.writer)
             return dict.fromkeys(task.outputs, record)
-        facts, text, debate = run_step(self.context, task.task, task.player, self.topology, task.target_resources, task.operators or None, self.writer)
-        value = facts if text is None else {"facts": facts, "text": text, "debate": debate}
-        outputs = dict.fromkeys(task.outputs, value)
+        facts, text, debate = run_step(self.context, task.task, task.player, self.topology, task.target_resources, task.operators or None, self.writer, task.outputs)
+        by_name = text if isinstance(text, dict) else dict.fromkeys(task.outputs, text)
+        outputs = {name: facts if text is None else {"facts": facts, "text": by_name[name], "debate": debate} for name in task.outputs}
         for resource in task.target_resources or []:
             own = {k.partition(":")[2]: v for k, v in facts.items() if k.startswith(f"{resource}:")}
             outputs |= {f"{resource}:{name}": own for name in task.outputs}

@@ -26,12 +26,9 @@ def extents(context: Context) -> dict:
             got = temporal.analyze_temporal_column(df, row.field).first()
             if got.min_ts is not None:
                 spans.append((got.min_ts, got.max_ts, got.apparent_granularity))
-        found = spatial.detect_spatial_columns(df, 0)
-        # only names that speak of coordinates: any small number is in their range
-        named = found.where("lower(field) RLIKE 'lat|lon' AND detected_type LIKE 'possible%'")
-        pair = spatial.coordinate_pairs(named, df.columns).first()
-        if pair and pair.latitude != pair.longitude:
-            got = spatial.spatial_extent(df, pair.latitude, pair.longitude).first()
+        pair = spatial.named_pair(df)
+        if pair:
+            got = spatial.spatial_extent(df, *pair).first()
             if got.valid_point_count:
                 boxes.append(got)
     out: dict = {"temporal_coverage": None, "temporal_resolution": None, "spatial_coverage": None}

@@ -458,7 +458,15 @@ def _streamed(spark: SparkSession, d: str, name: str, make: Callable[[DataFrame]
     return spark.table(view)
 
 
-@query("metadata_record")
+@query(
+    "metadata_record",
+    "WITH g AS (SELECT epoch_us(o_orderdate) - lag(epoch_us(o_orderdate)) OVER (ORDER BY o_orderdate) AS gap FROM orders WHERE o_orderdate IS NOT NULL), m AS (SELECT median(gap)::DOUBLE AS us FROM g) "
+    "SELECT 'Star Schema' AS title, '3 resources: ' || " + " || ', ' || ".join(f"'{t} (' || (SELECT count(*) FROM {t}) || ' rows, ' || (SELECT count(*) FROM (DESCRIBE {t})) || ' fields)'" for t in ("orders", "customer", "nation"))
+    + " || '.' AS description, NULL::VARCHAR AS subject, NULL::MAP(VARCHAR, DOUBLE) AS spatial_coverage, NULL::VARCHAR AS spatial_resolution, "
+    "(SELECT strftime(min(o_orderdate), '%Y-%m-%d') || ' to ' || strftime(max(o_orderdate), '%Y-%m-%d') FROM orders) AS temporal_coverage, "
+    "CASE WHEN us < 1e6 THEN 'sub-second' WHEN us < 60e6 THEN 'second' WHEN us < 3600e6 THEN 'minute' WHEN us < 86400e6 THEN 'hourly' WHEN us < 604800e6 THEN 'daily' WHEN us < 2764800e6 THEN 'weekly/monthly' ELSE 'monthly+' END AS temporal_resolution, "
+    "NULL::VARCHAR AS methods, 'Parquet' AS format FROM m",
+)
 def metadata_record(spark: SparkSession, d: str) -> DataFrame:
     return record_frame(spark, synthesise(context(spark, d, ("orders", "customer", "nation"))))
 

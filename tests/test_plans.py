@@ -5,6 +5,7 @@ import pytest
 from strataprobe.catalog import ContextType
 from strataprobe.errors import PlanError
 from strataprobe.operators.registry import REGISTRY, as_dict, operators_for, run
+from strataprobe.plans.debate import create_player, gather
 from strataprobe.plans.executor import execute_plan, final_metadata
 from strataprobe.plans.orchestrator import Orchestrator, config_summary, result_details, result_key
 from strataprobe.plans.roles import ROLES, topology
@@ -119,6 +120,31 @@ def test_writer_debates_and_plans(spark, survey):
     assert planned.steps[0].task == "a" and "1. a" in planned.pretty_print()
 
 
+def test_several_artifacts_get_their_own_values(survey):
+    plan = [step("count", {}, ["x", "y"])]
+    told = execute_plan(survey, plan, "single", writer=Echo('{"x": "rows", "z": 1}')).workspace
+    assert (told["x"]["text"], told["y"]["text"]) == ("rows", None)
+    told = execute_plan(survey, plan, "single", writer=Echo("[1]")).workspace
+    assert (told["x"]["text"], told["y"]["text"]) == ("[1]", "[1]")
+
+
+def test_operators_that_need_columns_run_for_those_that_fit(survey):
+    facts = gather(survey, ROLES["spatial_temporal_specialist"])
+    assert set(facts["samples:analyze_temporal_column"]) == {"date"} and "catches:analyze_temporal_column" not in facts
+    assert facts["samples:temporal_extent"]["date"].first().valid_timestamps == 2
+    assert set(facts["samples:analyze_spatial_column"]) == {"lat", "lon"}
+    assert facts["samples:spatial_extent"]["lat, lon"].first().valid_point_count == 2
+    facts = gather(survey, ROLES["relationship_analyst"], ["catches"])
+    assert [r.value for r in facts["catches:unique_values"]["sample_id"].orderBy("value").collect()] == [1, 2] and set(facts["catches:unique_values"]) == {"sample_id"}
+
+
+def test_players_from_settings():
+    writer = Echo("seen")
+    player = create_player({"role": "critic", "number": 2, "purpose": "Look closely.", "operators": ["item_count"]}, writer)
+    assert player.name == "critic_2" and player.tool_manifest().startswith("item_count: ") and player.critique("t", ["a"]) == "seen"
+    assert writer.asked[0].startswith("Look closely.") and create_player({"role": "critic"}).role == ROLES["critic"]
+
+
 def test_orchestrator(spark, survey):
     result = Orchestrator(spark, "fast").run(survey)
     assert result.final_metadata["format"] == "CSV"
