@@ -52,7 +52,7 @@ from ..functions.scalars import col
 from . import textcore as T
 from .batches import bound_batches, fetched, most_frequent, rows_per_batch
 from .components import connected_components
-from .rows import packed, spread_join, unpacked
+from .rows import HOT_ROWS, packed, spread_join, unpacked
 from .scratch import Scratch
 
 #: Tokens of a chunk of a group, and members at most.
@@ -68,6 +68,8 @@ BUNDLE = 32
 GROUPS_PER_BATCH = 8
 #: Groups of one token that meet in one task.
 MEET = 256
+#: Rows of one token above which joins by token spread them over tasks.
+HOT = HOT_ROWS
 #: Classes of a sketch; a count at the limit of a byte bounds nothing.
 CLASSES, _FULL = 64, 255
 #: Holders of a token up to which each is held against the others by sketch; nodes of larger lists all go on.
@@ -348,14 +350,21 @@ def _compare(t: Fraction):
     return run
 
 
-def _meetings(cells: DataFrame, block: int = MEET) -> DataFrame:
+def _held_by_several(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (token, node, ...) of the tokens that more than one row has, with the number of rows as holders; a frequent token's rows are spread over tasks."""
+    often = scratch.keep(rows.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
+    return spread_join(rows, often, "token", often.select("token", F.col("holders").alias("n")), F.col("node"), HOT)
+
+
+def _meetings(cells: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     """(group, group_b) of the groups that share a token, group being the lesser.
 
     The groups of a token are dealt into blocks, and every pair of blocks is a
     join key of its own, so that a token of very many groups is spread over tasks.
     """
-    holders = cells.groupBy("token").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1").withColumnRenamed("token", "hot")
-    dealt = cells.join(holders, F.col("token") == F.col("hot"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    counts = scratch.keep(cells.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > block), "meeting")
+    holders = counts.select("token", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = spread_join(cells, holders, "token", counts, F.col("group"), HOT, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.select("token", "group", F.pmod(F.xxhash64("group"), F.col("blocks")).cast("int").alias("own"), "blocks")
     left = dealt.select("token", "group", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"))
     right = dealt.select("token", F.col("group").alias("group_b"), F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"))
@@ -379,13 +388,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
     scratch.drop(first)
 
     spread = nodes.select("node", "n", F.explode("prefix").alias("token"))
-    often = lambda df: df.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
-    shared = scratch.keep(spread.join(often(spread), "token"), "shared")
+    shared = scratch.keep(_held_by_several(spread, scratch), "shared")
     listed = shared.where(F.col("holders") <= LIST).join(nodes.select("node", "sketch"), "node").select("token", "node", "n", "sketch")
     near = listed.repartition("token").sortWithinPartitions("token").mapInPandas(_linkable(t), "node bigint").union(shared.where(F.col("holders") > LIST).select("node")).distinct()
     alive = scratch.keep(shared.drop("holders").join(scratch.keep(near, "near"), "node"), "alive")
     scratch.drop(shared)
-    postings = scratch.keep(alive.join(often(alive), "token"), "postings")
+    postings = scratch.keep(_held_by_several(alive, scratch), "postings")
     scratch.drop(alive)
 
     home = postings.groupBy("node", "n").agg(F.max(F.struct("holders", "token")).alias("home"))
@@ -400,7 +408,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: str | Fraction = Fra
         matrix = scratch.keep(listed.mapInPandas(_matrix_rows, _MATRIX), "matrix")
 
     cells = scratch.keep(postings.select("token", "node").join(home, "node").select("token", "group").distinct(), "cells")
-    meet = _meetings(cells).distinct()
+    meet = _meetings(cells, scratch, MEET).distinct()
     slim = matrix.select("group", "sketch", "sizes", "sketches", "least", "most", F.octet_length("places").alias("weight"))
     other = lambda df: df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns])
     bounded = meet.join(slim, "group").join(other(slim), "group_b")

@@ -75,10 +75,10 @@ def bounded_sample(docs: DataFrame, id_col: str, text_col: str, rows: int, size:
 HOT_ROWS, HOT_KEYS = 100_000, 100_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, salt: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """left joined with right (one row a key) on key, the rows of a frequent key spread over tasks.
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, salt: Column | None = None, hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """left joined with right (one row a key) on key, the rows of a frequent key spread over tasks; how: inner or left.
 
-    counts(key, n): how many rows of left have each key.  Keys of more than
+    counts(key, n): how many rows of left have each key, at least for the frequent keys.  Keys of more than
     hot_rows rows and of more than a HOT_KEYS-th of all rows are frequent; those
     are few enough to broadcast, however many rows there are.  salt: a number by
     which rows of a key are told apart, by default their place in the input split.
@@ -87,10 +87,10 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame,
     least = max(hot_rows, -(-total // HOT_KEYS))
     hot = counts.where(F.col("n") > least).select(F.col(key).alias("hot_key"), F.ceil(F.col("n") / F.lit(least)).cast("int").alias("salts"))
     if hot.isEmpty():
-        return left.join(right, key)
+        return left.join(right, key, how)
     own = F.monotonically_increasing_id() if salt is None else salt
     left = left.withColumn("own_salt", own).join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
     left = left.withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("own_salt"), F.col("salts")).cast("int"))).drop("hot_key", "salts", "own_salt")
     right = right.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("hot_key", "salts")
-    return left.join(right, [key, "salt"]).drop("salt")
+    return left.join(right, [key, "salt"], how).drop("salt")

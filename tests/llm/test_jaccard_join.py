@@ -79,6 +79,16 @@ def test_small_chunks_lose_nothing(documents, monkeypatch):
     assert got(jaccard_classes(documents(*rows), 3, "3/4")) == brute(rows, 3, Fraction(3, 4))
 
 
+@pytest.mark.parametrize("hot", [2, 30])
+def test_frequent_tokens_are_spread_and_lose_nothing(documents, monkeypatch, hot):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "MEET", 2)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 2)
+    r = random.Random(hot)
+    rows = corpus(10, 80) + [(2000 + i, " ".join(["same"] * 3 + [f"v{r.randrange(9)}" for _ in range(4)])) for i in range(60)]
+    assert got(jaccard_classes(documents(*rows), 3, "3/4")) == brute(rows, 3, Fraction(3, 4))
+
+
 def test_odd_rows(documents):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "one"), (9, "ONE"), (10, "one two"), (None, "one two"), (None, None), (None, "alone here now"), (11, long), (12, long + " end"), (13, "É a b"), (14, "é a b"), (8, "one"), (20, "a b c d"), (21, "a b c d")]
